@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import quality
+from tidemark.llm import quality, toxicity, urls
 
-QUERIES = {"op1_quality_rules": quality.query}
+QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op2_toxicity": toxicity.query,
+    "op5_url_filters": urls.query,
+}
 ORACLES = {"op1_quality_rules": quality.ORACLE}
