@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, quality, secrets, toxicity, urls
+from tidemark.llm import bpe, jaccard, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_toxicity": toxicity.query,
     "op5_url_filters": urls.query,
+    "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
     "op10_secret_scans": secrets.query,
 }
