@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fmindex, jaccard, quality, secrets, toxicity, urls
+from tidemark.llm import bpe, fmindex, jaccard, language, quality, secrets, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_toxicity": toxicity.query,
     "op4_decontamination": fmindex.query,
     "op5_url_filters": urls.query,
+    "op6_language_id": language.query,
     "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
     "op10_secret_scans": secrets.query,
