@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fmindex, jaccard, language, quality, secrets, toxicity, urls
+from tidemark.llm import bpe, fmindex, jaccard, language, quality, secrets, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_toxicity": toxicity.query,
+    "op3_warc": warc.query,
     "op4_decontamination": fmindex.query,
     "op5_url_filters": urls.query,
     "op6_language_id": language.query,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_bpe": bpe.query,
     "op10_secret_scans": secrets.query,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE}
+ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE}
