@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, fmindex, jaccard, language, quality, secrets, toxicity, urls, warc
+from tidemark.llm import bpe, chat, fmindex, jaccard, language, quality, secrets, toxicity, urls, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": fmindex.query,
     "op5_url_filters": urls.query,
     "op6_language_id": language.query,
+    "op7_chat_formatting": chat.query,
     "op8_ngram_jaccard": jaccard.query,
     "op9_bpe": bpe.query,
     "op10_secret_scans": secrets.query,
