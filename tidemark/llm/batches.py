@@ -29,6 +29,11 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, schema)
 
 
+def same_columns(df: DataFrame) -> str:
+    """The schema of ``df`` as text."""
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column as strings; null is the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -203,5 +203,31 @@ def bpe(documents: DataFrame, spec: dict) -> DataFrame:
     return map_batches(documents.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def encoded(documents: DataFrame, spec: dict) -> DataFrame:
+    """As ``bpe``, with the ids themselves and the document's language and source."""
+    sent = documents.sparkSession.sparkContext.broadcast(spec)
+    carried = [n for n in ("lang", "source") if n in documents.columns]
+
+    def make():
+        codec = codec_of(sent.value)
+
+        def work(batch):
+            joined = [codec.encode_joined(t) for t in texts(batch)]
+            ids = [[int(i) for i in a.split()] for a, _ in joined]
+            return {
+                "doc_id": batch.column("doc_id"),
+                **{n: batch.column(n) for n in carried},
+                "n_tokens": [len(i) for i in ids],
+                "ids": ids,
+                "ids_sha256": [hashlib.sha256(a.encode()).hexdigest() for a, _ in joined],
+                "decoded_sha256": [hashlib.sha256(b.encode()).hexdigest() for _, b in joined],
+            }
+
+        return work
+
+    schema = "doc_id bigint, " + "".join(f"{n} string, " for n in carried) + "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return map_batches(documents.select("doc_id", "text", *carried), make, schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return bpe(spark.read.parquet(f"{sf_dir}/documents.parquet"), load())

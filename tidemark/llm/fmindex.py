@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import map_batches, texts
+from tidemark.llm.batches import map_batches, same_columns, texts
 
 WINDOW = 10
 #: Words of the items of one block of phrases.
@@ -292,7 +292,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return work
 
-    return map_batches(documents, make, ", ".join(f"`{n}` {t}" for n, t in documents.dtypes))
+    return map_batches(documents, make, same_columns(documents))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import map_batches, texts
+from tidemark.llm.batches import map_batches, same_columns, texts
 
 KINDS = ("assign", "access", "hex", "random")
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -156,7 +156,7 @@ def redacted(documents: DataFrame, vocabulary) -> DataFrame:
 
         return work
 
-    return map_batches(documents, make, ", ".join(f"`{n}` {t}" for n, t in documents.dtypes))
+    return map_batches(documents, make, same_columns(documents))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

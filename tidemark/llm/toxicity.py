@@ -21,10 +21,11 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import held_out, map_batches, texts
+from tidemark.llm.batches import held_out, map_batches, same_columns, texts
 
 #: Labelled rows of each class that the lexicon is learned from, at most; the rows of least hash are taken.
 SAMPLE_ROWS = 6000
@@ -222,6 +223,22 @@ def toxicity(documents: DataFrame, lexicon: Lexicon, threshold: float = THRESHOL
     )
 
 
+def kept(documents: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents``, all of their columns, that score below the threshold."""
+    names = documents.columns
+
+    def make():
+        matcher = Matcher(lexicon)
+
+        def work(batch):
+            mask = pa.array([matcher.score(t)[0] < threshold for t in texts(batch)], pa.bool_())
+            return {n: batch.column(n).filter(mask) for n in names}
+
+        return work
+
+    return map_batches(documents, make, same_columns(documents))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return toxicity(documents, fit(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
