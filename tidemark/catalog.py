@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.plans import dynamics
+
 FLAGSHIP = "agg01_fractional_occupancy"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_MODULES = (dynamics,)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
