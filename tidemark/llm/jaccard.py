@@ -42,10 +42,12 @@ PACK = 2_000_000
 CACHE_WORDS = 500_000
 #: Star rounds at most before all pairs between components are tried, and how many such pairs per
 #: posting make another star round worth while.
-STAR_ROUNDS = 4
-PAIRS_PER_POSTING = 4
+STAR_ROUNDS = 2
+PAIRS_PER_POSTING = 16
 #: Column blocks over which overlaps are accumulated.
 STEPS = 4
+#: Row numbers that are broadcast at most where repeats are dropped.
+BROADCAST_ROWS = 1_000_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -226,7 +228,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
-_DOCS = "key bigint, doc_id bigint, n_shingles bigint, sig binary, typical double, cells binary"
+_DOCS = "key bigint, doc_id bigint, n_shingles bigint, sig binary, typical double, cells binary, often binary"
 
 
 def _rows_back(percent: int):
@@ -248,6 +250,8 @@ def _rows_back(percent: int):
             at, cells, often = at[order], cells[order], often[order]
             weight = np.bincount(at, np.log(often), minlength=len(meta)) / np.maximum(1, sizes)
             ends = np.searchsorted(at, np.arange(len(meta) + 1))
+            often = np.minimum(often, 0xFFFF).astype(np.uint16)
+            blobs = lambda v: pa.array([v[ends[i] : ends[i + 1]].tobytes() if live[i] else None for i in range(len(meta))], pa.binary())
             yield pa.RecordBatch.from_pydict(
                 {
                     "key": meta,
@@ -255,7 +259,8 @@ def _rows_back(percent: int):
                     "n_shingles": sizes,
                     "sig": pa.array([s.tobytes() for s in sigs], pa.binary()),
                     "typical": weight,
-                    "cells": pa.array([cells[ends[i] : ends[i + 1]].tobytes() if live[i] else None for i in range(len(meta))], pa.binary()),
+                    "cells": blobs(cells),
+                    "often": blobs(often),
                 }
             )
 
@@ -268,8 +273,13 @@ def _postings(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {k: [np.empty(0, np.int64)] for k in ("cell", "key", "n", "pos")} | {"typical": [np.empty(0)]}
-            for key, n, typical, cells in zip(*(batch.column(c).to_pylist() for c in ("key", "n_shingles", "typical", "cells")), strict=True):
-                cells = np.frombuffer(cells, np.int64)
+            names = ("key", "n_shingles", "typical", "cells", "often", "n_copies")
+            for key, n, typical, cells, often, copies in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                cells, often = np.frombuffer(cells, np.int64), np.frombuffer(often, np.uint16)
+                if copies < 0xFFFF:  # what only the copies of a class share meets no other class
+                    cells = cells[often != copies]
+                if 100 * len(cells) < percent * n:
+                    continue
                 alone = n - len(cells)
                 first = cells[: max(0, n - -(-percent * n // 100) + 1 - alone)]
                 out["cell"].append(first)
@@ -333,9 +343,9 @@ def _in_reach(percent: int):
 
 
 def near_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Classes (key, n_shingles, typical, cells) → (node, label) of those linked with another."""
+    """Classes (key, n_shingles, typical, cells, often, n_copies) → (node, label) of those linked with another."""
     spark = classes.sparkSession
-    every = classes.select("key", "n_shingles", "typical", "cells").mapInArrow(_postings(percent), "cell bigint, key bigint, n bigint, pos bigint, typical double")
+    every = classes.mapInArrow(_postings(percent), "cell bigint, key bigint, n bigint, pos bigint, typical double")
     often = every.groupBy("cell").agg(F.count("*").alias("k")).filter("k > 1").select("cell")
     postings = stage(every.join(often, "cell"), "postings")  # a cell of one class meets nothing
     found = None
@@ -353,6 +363,7 @@ def near_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         left = marked.join(open_cells.select("cell"), "cell", "left_semi")
         side = lambda x, df=left: df.select("cell", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "label")))
         if last:
+            left = left.drop("typical")
             meeting = side("a").join(side("b"), "cell").filter("label_a < label_b")
         else:
             best = F.max(F.struct(F.col("typical") if turn == 0 else F.xxhash64("key", F.lit(turn)), "key", "n", "pos", "label")).alias("m")
@@ -372,8 +383,8 @@ def near_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``documents`` (doc_id, text) → doc_id, n_shingles, component_id, one row per input row."""
+def _named(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, doc_id, n_shingles) that nothing links, and those of classes with their component_id and its first key."""
     spark = documents.sparkSession
     size = input_bytes(documents)
     blocks, buckets = pow2_at_least(size / 125_000, 4096, 65536), pow2_at_least(size / 500_000, 1024, 65536)
@@ -382,15 +393,34 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
     rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence")
     live = rows.filter("cells IS NOT NULL")
-    classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), F.min("doc_id").alias("first"), F.count("*").alias("n_copies")), "classes")
-    heads = stage(live.select("key", "n_shingles", "typical", "cells").join(classes.select("key"), "key", "left_semi"), "heads")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), first, F.count("*").alias("n_copies")), "classes")
+    heads = stage(live.select("key", "n_shingles", "typical", "cells", "often").join(classes.select("key", "n_copies"), "key"), "heads")
     linked = near_links(heads, percent)
     named = classes.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = stage(named, "named")
-    firsts = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = named.join(firsts, "label").select("sig", "component_id")
-    alone = rows.filter("cells IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return alone.unionAll(live.select("doc_id", "n_shingles", "sig").join(named, "sig").select("doc_id", "n_shingles", "component_id"))
+    named = stage(named.select("sig", "first", "label"), "named")
+    firsts = named.groupBy("label").agg(F.min("first").alias("least"))
+    named = named.join(firsts, "label").select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key"))
+    alone = rows.filter("cells IS NULL").select("key", "doc_id", "n_shingles")
+    return alone, live.select("key", "doc_id", "n_shingles", "sig").join(named, "sig").drop("sig")
+
+
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``documents`` (doc_id, text) → doc_id, n_shingles, component_id, one row per input row."""
+    alone, grouped = _named(documents, percent)
+    columns = ("doc_id", "n_shingles", "component_id")
+    return alone.withColumn("component_id", F.col("doc_id")).select(*columns).unionAll(grouped.select(*columns))
+
+
+def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``documents``, all of their columns, without those that repeat another: of each
+    component the row of least doc_id stays. Rows that nothing links all stay."""
+    held = documents.withColumn("__row", F.monotonically_increasing_id())
+    _, grouped = _named(documents, percent)
+    gone = stage(grouped.filter("key <> first_key").select(F.col("key").alias("__row")), "repeats")
+    if gone.count() <= BROADCAST_ROWS:  # 8 MB of row numbers; beyond, both sides are shuffled
+        gone = F.broadcast(gone)
+    return held.join(gone, "__row", "left_anti").drop("__row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
