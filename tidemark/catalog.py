@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import dynamics
+from tidemark.plans import dynamics, preprocess
 
 FLAGSHIP = "agg01_fractional_occupancy"
-_MODULES = (dynamics,)
+_MODULES = (dynamics, preprocess)
 QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES: dict = {name: q for m in _MODULES for name, q in m.ORACLES.items()}
