@@ -50,9 +50,12 @@ def compile_rules(table=THRESHOLDS) -> str:
 
 
 def metrics(documents: DataFrame) -> DataFrame:
-    """Counts that the rules use, one row per input row."""
+    """Counts that the rules use, one row per input row.
+
+    The counts leave through a generator of one row: a later filter on a verdict stays above it,
+    where pushing it down would copy these expressions into each other many times over."""
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return (
+    counts = (
         documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
         .select("doc_id", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
         .select(
@@ -94,6 +97,7 @@ def metrics(documents: DataFrame) -> DataFrame:
             F.expr("bigint(length(regexp_replace(text, '[^!]+', '')))").alias("n_bangs"),
         )
     )
+    return counts.select(F.inline(F.array(F.struct(*counts.columns))))
 
 
 def quality_rules(documents: DataFrame, table=THRESHOLDS, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
