@@ -32,9 +32,9 @@ def regression_by_time(wide: DataFrame, predictors: Sequence[str], target: str,
 
 def predicted_by_time(wide: DataFrame, predictors: Sequence[str], betas: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
     """Adds ``yhat`` from (by…, term, beta)."""
-    vectors = betas.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("term", "beta"))).alias("b"))
-    value = sum((F.col(n) * F.col("b")[i].getField("beta") for i, n in enumerate(predictors, 1)), F.col("b")[0].getField("beta"))
-    return wide.join(vectors, list(by)).withColumn("yhat", value).drop("b")
+    vectors = betas.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("term", "beta"))).alias("__betas"))
+    value = sum((F.col(n) * F.col("__betas")[i].getField("beta") for i, n in enumerate(predictors, 1)), F.col("__betas")[0].getField("beta"))
+    return wide.join(vectors, list(by)).withColumn("yhat", value).drop("__betas")
 
 
 def r_squared(scored: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
@@ -42,7 +42,7 @@ def r_squared(scored: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
     return moments.prediction_error(scored, by).select(*by, F.col("explained").alias("r2"))
 
 
-def cross_validated(wide: DataFrame, predictors: Sequence[str], target: str, folds: int, ridge: float = 1e-4) -> DataFrame:
+def cross_validated(wide: DataFrame, predictors: Sequence[str], target: str, ridge: float = 1e-4) -> DataFrame:
     """R² per time point of predictions for folds (column ``fold``) left out of the fit: sums of all
     less those of a fold are the sums of the rest, so every row is read once."""
     sums = moments.products(wide, [*predictors, target], None, ["t", "fold"])

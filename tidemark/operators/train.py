@@ -21,6 +21,10 @@ from tidemark.functions.special import digamma, kl_dirichlet, kl_wishart
 from tidemark.operators.inference import BATCH_SEGMENTS, KEY, forward_backward, viterbi
 
 
+#: Observations that starting clusters are found in.
+SAMPLE = 2000
+
+
 @dataclass(frozen=True)
 class Options:
     """Options of a fit. Unknown names are an error that names the nearest known one."""
@@ -157,7 +161,8 @@ def statistics(grouped: DataFrame, model: Model) -> dict[str, np.ndarray]:
 
 
 def initial_model(observations: DataFrame, options: Options) -> Model:
-    """Priors from the data's mean and spread; states start at seeded draws around the mean."""
+    """Priors from the data's mean and spread; states start at the clusters of a sample of at most
+    ``SAMPLE`` observations, those of least hash under the seed."""
     d = len(observations.first()["x"])
     cells = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(d)] + [F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(d)]
     row = observations.agg(*cells).first()
@@ -171,11 +176,28 @@ def initial_model(observations: DataFrame, options: Options) -> Model:
         "start": np.ones(k),
         "counts": np.full((k, k), options.off_diagonal_prior) + np.eye(k) * (options.diagonal_prior - options.off_diagonal_prior),
     }
-    centre = prior["mean"] + (0 if options.zero_mean else 1) * rng.standard_normal((k, d)) * np.sqrt(var)
-    spread = np.exp(rng.normal(0, 0.5, k)) if options.zero_mean else np.ones(k)
-    return Model(
-        np.ones(k), prior["counts"].copy(), centre, np.full(k, prior["beta"]), np.full(k, prior["a"] + 5), np.stack([np.diag(var) * s * (prior["a"] + 5) for s in spread]), prior
-    )
+    if options.zero_mean:
+        centre, rate = np.zeros((k, d)), np.stack([np.diag(var) * v for v in np.exp(rng.normal(0, 0.7, k))])
+    else:
+        picked = observations.orderBy(F.xxhash64(*KEY, "t", F.lit(options.seed))).limit(SAMPLE).select("x").collect()
+        centre, rate = clusters(np.array([r[0] for r in picked], float), k, rng)
+    shape = prior["a"] + 5
+    return Model(np.ones(k), prior["counts"].copy(), centre, np.full(k, 10.0), np.full(k, shape), rate * shape, prior)
+
+
+def clusters(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and diagonal covariances of k groups: spread-out seeds, then means of nearest points."""
+    scaled = x / np.maximum(x.std(0), 1e-12)
+    seeds = [int(rng.integers(len(x)))]
+    for _ in range(k - 1):
+        d = ((scaled[:, None] - scaled[seeds][None]) ** 2).sum(2).min(1)
+        seeds.append(int(rng.choice(len(x), p=d / d.sum())) if d.sum() > 0 else int(rng.integers(len(x))))
+    centre = scaled[seeds]
+    for _ in range(rounds):
+        near = ((scaled[:, None] - centre[None]) ** 2).sum(2).argmin(1)
+        centre = np.stack([scaled[near == s].mean(0) if (near == s).any() else centre[s] for s in range(k)])
+    groups = [x[near == s] if (near == s).sum() > 1 else x for s in range(k)]
+    return np.stack([g.mean(0) for g in groups]), np.stack([np.diag(np.maximum(g.var(0), 1e-6 * x.var(0) + 1e-12)) for g in groups])
 
 
 def updated(model: Model, stats: dict[str, np.ndarray], scale: float = 1.0) -> Model:
