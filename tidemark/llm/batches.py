@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 #: Rows of one Arrow batch; texts are a few kB each, so a batch is a few MB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:

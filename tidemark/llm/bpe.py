@@ -27,7 +27,7 @@ from tidemark.llm.batches import map_batches, texts
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pre-tokens that a task keeps; the cache starts anew beyond, which costs time and changes nothing.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 NEVER = 1 << 60
 
 # White space of Unicode.
@@ -171,23 +171,12 @@ def load(name: str = TOKENIZER) -> dict:
         return json.load(f)
 
 
-def codec_of(spec: dict):
-    """Per process: the codec of a tokenizer file, with its cache."""
-    import sys
-
-    kept = sys.modules.setdefault("_tidemark_codecs", type(sys)("_tidemark_codecs"))
-    key = (len(spec["model"]["vocab"]), spec["model"].get("end_of_word_suffix"))
-    if key not in kept.__dict__:
-        kept.__dict__[key] = Codec(spec)
-    return kept.__dict__[key]
-
-
 def bpe(documents: DataFrame, spec: dict) -> DataFrame:
     """``documents`` (doc_id, text) → doc_id, n_tokens and digests of the ids and of the decoded text."""
     sent = documents.sparkSession.sparkContext.broadcast(spec)  # a vocabulary file: 2 MB whatever the corpus
 
     def make():
-        codec = codec_of(sent.value)
+        codec = Codec(sent.value)
 
         def work(batch):
             out = {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -209,7 +198,7 @@ def encoded(documents: DataFrame, spec: dict) -> DataFrame:
     carried = [n for n in ("lang", "source") if n in documents.columns]
 
     def make():
-        codec = codec_of(sent.value)
+        codec = Codec(sent.value)
 
         def work(batch):
             joined = [codec.encode_joined(t) for t in texts(batch)]

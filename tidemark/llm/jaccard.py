@@ -38,8 +38,8 @@ from tidemark.session import input_bytes, pow2_at_least, stage
 WORDS = 5
 PERCENT = 80
 #: N-grams that a task packs into one set of column blocks, and words whose hashes it keeps.
-PACK = 2_000_000
-CACHE_WORDS = 500_000
+PACK = 1_000_000
+CACHE_WORDS = 200_000
 #: Star rounds at most before all pairs between components are tried, and how many such pairs per
 #: posting make another star round worth while.
 STAR_ROUNDS = 2
@@ -388,7 +388,7 @@ def _named(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = documents.sparkSession
     size = input_bytes(documents)
     blocks, buckets = pow2_at_least(size / 125_000, 4096, 65536), pow2_at_least(size / 500_000, 1024, 65536)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     columns = documents.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(_pack_columns(blocks.bit_length() - 1), _BLOCK)
     cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
     rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence")
@@ -425,3 +425,23 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_SET = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_SET} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least({WORDS}, len(w)) AS k, unnest(range(1, len(w) - least({WORDS}, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {PERCENT} * (na.n + nb.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(b) AS component_id
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY ALL
+"""

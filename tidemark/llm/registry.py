@@ -16,4 +16,9 @@ QUERIES = {
     "op9_bpe": bpe.query,
     "op10_secret_scans": secrets.query,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE, "op3_warc": warc.ORACLE}
+ORACLES = {
+    "op1_quality_rules": quality.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op4_decontamination": fmindex.ORACLE,
+    "op8_ngram_jaccard": jaccard.ORACLE,
+}
