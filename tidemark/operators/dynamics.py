@@ -185,3 +185,23 @@ def pad(gamma: DataFrame, segments: DataFrame) -> DataFrame:
     grid = segments.select(*KEY, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("t"))
     filled = grid.join(means, list(KEY)).join(gamma, [*KEY, "t", "state"], "left")
     return filled.select(*KEY, "t", "state", F.coalesce("p", "mean").alias("p"))
+
+
+def chain_pairs(gamma: DataFrame) -> DataFrame:
+    """Per state taken as a chain of its own, the approximate pair probabilities of being on or off at
+    neighbouring samples, summed over each series: (series_id, state, on_on, on_off, off_on, off_off)."""
+    after = F.lead("p").over(Window.partitionBy(*KEY, "state").orderBy("t"))
+    both = gamma.withColumn("q", after).filter("q IS NOT NULL")
+    p, q = F.col("p"), F.col("q")
+    return both.groupBy("series_id", "state").agg(
+        F.sum(p * q).alias("on_on"), F.sum(p * (1 - q)).alias("on_off"), F.sum((1 - p) * q).alias("off_on"), F.sum((1 - p) * (1 - q)).alias("off_off")
+    )
+
+
+def label_resets(gamma: DataFrame, labels: DataFrame) -> DataFrame:
+    """Correlation over time of each label's mean course (labels: series_id, segment_id, label) with the
+    mean of all, per state: those below zero are to be reset."""
+    joined = gamma.join(labels, list(KEY))
+    own = joined.groupBy("label", "t", "state").agg(F.avg("p").alias("own"))
+    every = joined.groupBy("t", "state").agg(F.avg("p").alias("every"))
+    return own.join(every, ["t", "state"]).groupBy("label", "state").agg(F.corr("own", "every").alias("r"))

@@ -243,3 +243,43 @@ def leading_phases(observations: DataFrame) -> DataFrame:
         return rows.assign(x=list(lead))
 
     return observations.groupBy(*KEY).applyInPandas(run, observations.schema)
+
+
+def nearest_class(predictions: DataFrame, value: str = "yhat") -> DataFrame:
+    """Continuous predictions of a target of -1 and 1 → the nearer of the two, zero counting as 1."""
+    return predictions.withColumn("label", F.when(F.col(value) < 0, -1).otherwise(1))
+
+
+def binary_columns(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One-against-one codes (keys…, a, b, code) → (keys…, class, member): 1 for the class that wins all of its pairs."""
+    sides = pairs.select(*keys, F.inline(F.array(F.struct(F.col("a").alias("class"), F.col("code").alias("c")), F.struct(F.col("b").alias("class"), (-F.col("code")).alias("c")))))
+    return sides.groupBy(*keys, "class").agg(F.min((F.col("c") == 1).cast("int")).alias("member"))
+
+
+def pad_path(path: DataFrame, segments: DataFrame) -> DataFrame:
+    """A path on the full grid of ``segments`` (series_id, segment_id, n), null where it has no state."""
+    grid = segments.select(*KEY, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("t"))
+    return grid.join(path, [*KEY, "t"], "left")
+
+
+def reconstruct(design: DataFrame, channels: int) -> DataFrame:
+    """The series before each designed sample, from the columns of lag one: (t, channel, value)."""
+    return design.filter(F.col("column").between(1, channels)).select(*KEY, (F.col("t") - 1).alias("t"), F.col("column").alias("channel"), "value")
+
+
+def labelled_stretches(samples: DataFrame, label: str) -> DataFrame:
+    """Number of unbroken stretches with and without a label per segment."""
+    w = Window.partitionBy(*KEY).orderBy("t")
+    change = F.when(F.lag(F.col(label).isNull()).over(w) == F.col(label).isNull(), 0).otherwise(1)
+    return samples.withColumn("c", change).groupBy(*KEY).agg(F.sum("c").alias("stretches"))
+
+
+def orthogonalised(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Symmetric orthogonalisation: columns of equal norm that are as close as possible to the given ones."""
+    from tidemark.operators import moments
+
+    sums = moments.matrix(moments.products(rows, names).collect(), len(names))[1:, 1:]
+    scale = np.sqrt(np.diag(sums))
+    values, vectors = np.linalg.eigh(sums / np.outer(scale, scale))
+    root = vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
+    return moments.project(rows, names, (root / scale[:, None]), "orth")
