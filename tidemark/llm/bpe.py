@@ -19,14 +19,13 @@ import json
 import re
 import unicodedata
 from heapq import heapify, heappop, heappush
-from itertools import repeat
 
 from pyspark.sql import DataFrame
 
 from tidemark.llm.batches import map_batches, texts
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pre-tokens that a task keeps; the cache starts anew beyond, which costs time and changes nothing.
+#: Pre-tokens that a task keeps, in two halves of which the older goes when the newer is full.
 CACHE_WORDS = 200_000
 NEVER = 1 << 60
 
@@ -55,6 +54,7 @@ class Codec:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(a, b): rank for rank, (a, b) in enumerate(merges)}
         self.tokens = {i: t for t, i in self.vocab.items()}
+        self.names = {t: str(i) for t, i in self.vocab.items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in special.items()}
         self.special = special
@@ -69,7 +69,8 @@ class Codec:
         self.library = None
         self.spec = spec
         self.cache: dict[str, tuple[str, str]] = {}
-        self.cache_words = cache_words
+        self.older: dict[str, tuple[str, str]] = {}
+        self.cache_words = cache_words // 2
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a stretch without special tokens, normalised."""
@@ -90,23 +91,28 @@ class Codec:
 
     def fragments(self, word: str) -> list[list[str]]:
         """Symbols of a pre-token, cut at pairs that no token holds; the last symbol ends the word."""
-        chars = [self.byte_chars[b] for b in word.encode()]
-        cuts = [0, *(i for i in range(1, len(chars)) if (chars[i - 1], chars[i]) not in self.joined), len(chars)]
+        chars = list(word) if word.isascii() and word.isprintable() else [self.byte_chars[b] for b in word.encode()]
+        joined = self.joined
+        cuts = [i for i, p in enumerate(zip(chars, chars[1:], strict=False), 1) if p not in joined]
         chars[-1] += self.suffix
-        return [chars[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if not cuts:
+            return [chars]
+        return [chars[a:b] for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True)]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Applies the merges of least rank first, the leftmost of equals."""
         if len(symbols) > 100:
             return self.merge_long(symbols)
         rank = self.ranks.get
-        while len(symbols) > 1:
-            found = list(map(rank, zip(symbols, symbols[1:], strict=False), repeat(NEVER)))
-            least = min(found)
-            if least == NEVER:
-                break
+        found = [rank(p, NEVER) for p in zip(symbols, symbols[1:], strict=False)]
+        while found and (least := min(found)) != NEVER:
             i = found.index(least)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], found[i]
+            if i:
+                found[i - 1] = rank((symbols[i - 1], symbols[i]), NEVER)
+            if i < len(found):
+                found[i] = rank((symbols[i], symbols[i + 1]), NEVER)
         return symbols
 
     def merge_long(self, symbols: list[str]) -> list[str]:
@@ -130,8 +136,9 @@ class Codec:
 
     def encode_word(self, word: str) -> tuple[str, str]:
         """Ids and tokens of a pre-token, joined by spaces."""
-        tokens = [t for f in self.fragments(word) for t in self.merge(f) if t in self.vocab]
-        return " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
+        names = self.names
+        tokens = [t for f in self.fragments(word) for t in self.merge(f) if t in names]
+        return " ".join([names[t] for t in tokens]), " ".join(tokens)
 
     def encode_joined(self, text: str) -> tuple[str, str]:
         """Ids and tokens of a text, joined by spaces."""
@@ -142,15 +149,14 @@ class Codec:
                 ids.append(str(self.special[part]))
                 tokens.append(part)
                 continue
-            cache = self.cache
             for word in self.words(part):
-                got = cache.get(word)
+                got = self.cache.get(word)
                 if got is None:
-                    if len(cache) >= self.cache_words:
-                        cache.clear()
-                    got = self.encode_word(word)
+                    got = self.older.get(word) or self.encode_word(word)
                     if len(word) <= 64:
-                        cache[word] = got
+                        if len(self.cache) >= self.cache_words:
+                            self.cache, self.older = {}, self.cache
+                        self.cache[word] = got
                 if got[0]:
                     ids.append(got[0])
                     tokens.append(got[1])
