@@ -200,3 +200,51 @@ def test_stream_equals_batch(spark, tmp_path):
             a = (a if t == 1 else a @ np.array(p)) * np.exp(ll)
             a /= a.sum()
             assert np.allclose(got[s, t], a)
+
+
+def test_flips_are_undone(spark):
+    from tidemark.operators import flips
+
+    rng = np.random.default_rng(1)
+    root = np.array([[1.0, 0, 0, 0], [0.8, 0.6, 0, 0], [0.5, 0.5, 0.7, 0], [0.6, -0.5, 0.3, 0.5]])
+    rows, signs = [], {}
+    for s in range(8):
+        signs[s] = np.where(rng.random(4) < 0.4, -1, 1) if s else np.ones(4)
+        x = (rng.standard_normal((400, 4)) @ root.T) * signs[s]
+        r = np.corrcoef(x.T)
+        rows += [(s, i + 1, j + 1, 0, float(r[i, j])) for i in range(4) for j in range(4)]
+    found = flips.find_flips(spark.createDataFrame(rows, "series_id bigint, i int, j int, lag int, r double"), 4)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.series_id, np.ones(4))[r.channel - 1] = 1 - 2 * r.flip
+    total = [np.outer(got[s] * signs[s], got[s] * signs[s]) for s in range(8)]
+    assert sum(np.array_equal(t, total[0]) for t in total) >= 7
+
+
+def test_mat_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tidemark.sources import matfile
+
+    def element(kind, data):
+        return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+    def array(name, values):
+        values = np.asarray(values, float)
+        flags = element(6, struct.pack("<II", 6, 0))
+        return element(14, flags + element(5, struct.pack("<ii", *values.shape)) + element(1, name.encode()) + element(9, values.tobytes("F")))
+
+    packed = zlib.compress(array("T", [[3.0]]))
+    raw = b"x".ljust(124) + b"\0\1IM" + array("X", [[1, 2], [3, 4], [5, 6]]) + struct.pack("<II", 15, len(packed)) + packed
+    assert [(n, a.tolist()) for n, a in matfile.arrays(raw)] == [("X", [[1, 2], [3, 4], [5, 6]]), ("T", [[3]])]
+    (tmp_path / "a.mat").write_bytes(raw)
+    spark.dataSource.register(matfile.MatSource)
+    got = spark.read.format("mat").option("path", f"{tmp_path}/*.mat").load()
+    assert [(r.name, r.row, r.column, r.value) for r in got.filter("name = 'X'").orderBy("row", "column").collect()] == [("X", i + 1, j + 1, 2.0 * i + j + 1) for i in range(3) for j in range(2)]
+
+
+def test_scatter_divergence(spark):
+    rows = [(s, t, math.sin(t * (s % 2 + 1)) * (1 + s % 2), math.cos(t + s % 2)) for s in range(4) for t in range(50)]
+    got = {(r.a, r.b): r.divergence for r in pairs.scatter_divergence(spark.createDataFrame(rows, "series_id bigint, t int, u double, v double"), ["u", "v"]).collect()}
+    assert got[0, 2] == pytest.approx(0, abs=1e-9) and got[0, 1] > 1 and len(got) == 6

@@ -37,13 +37,35 @@ def static_connectivity(long: DataFrame) -> DataFrame:
     return both.groupBy("series_id", "i", "j").agg(F.corr("x", "y").alias("r"))
 
 
-def edge_similarity(edges: DataFrame) -> DataFrame:
-    """Correlation between series a < b of their edge weights (series_id, i, j, r).
+#: Blocks of series on either side of a matrix over series; a task holds one block of each side.
+BLOCKS = 8
+
+
+def vectors(features: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """(series_id, v): one array per series, in the order of the given columns."""
+    cells = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v"))))
+    return features.groupBy("series_id").agg(cells.alias("c")).select("series_id", F.col("c.v").alias("v"))
+
 
-    Each series has one row per edge; the pairs asked for are series pairs, so the output is their number."""
-    left = edges.select("i", "j", F.col("series_id").alias("a"), F.col("r").alias("ra"))
-    right = edges.select("i", "j", F.col("series_id").alias("b"), F.col("r").alias("rb"))
-    return left.join(right, ["i", "j"]).filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("similarity"))
+def block_pairs(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (a, x, b, y) of series a <= b of (series_id, v). The output is the matrix asked for, so it
+    grows with the square of the series; blocks of both sides meet, each pair in one task only."""
+    block, every = F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = rows.select(F.col("series_id").alias("a"), F.col("v").alias("x"), block.alias("p"), F.explode(every).alias("q"))
+    right = rows.select(F.col("series_id").alias("b"), F.col("v").alias("y"), block.alias("q"), F.explode(every).alias("p"))
+    return left.join(right, ["p", "q"]).filter("a <= b").select("a", "x", "b", "y")
+
+
+_DOT = "aggregate(zip_with(x, y, (p, q) -> p * q), 0D, (t, u) -> t + u)"
+
+
+def edge_similarity(edges: DataFrame) -> DataFrame:
+    """Correlation between series a < b of their edge weights (series_id, i, j, r)."""
+    mean = "(aggregate(v, 0D, (t, u) -> t + u) / size(v))"
+    centred = vectors(edges, ["i", "j"], "r").select("series_id", F.expr(f"transform(v, u -> u - {mean})").alias("v"))
+    length = F.expr("sqrt(aggregate(v, 0D, (t, u) -> t + u * u))")
+    unit = centred.withColumn("l", length).select("series_id", F.expr("transform(v, u -> u / l)").alias("v"))
+    return block_pairs(unit).filter("a < b").select("a", "b", F.expr(_DOT).alias("similarity"))
 
 
 def lagged_correlation(long: DataFrame, max_lag: int) -> DataFrame:
@@ -129,16 +151,13 @@ def linear_kernel(features: DataFrame, normalise: bool = False) -> DataFrame:
     if normalise:
         norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("feature")))
         features = features.withColumn("value", F.col("value") / norm)
-    left = features.select("feature", F.col("series_id").alias("a"), F.col("value").alias("x"))
-    right = features.select("feature", F.col("series_id").alias("b"), F.col("value").alias("y"))
-    return left.join(right, "feature").filter("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+    return block_pairs(vectors(features, ["feature"], "value")).select("a", "b", F.expr(_DOT).alias("k"))
 
 
 def distances(features: DataFrame) -> DataFrame:
     """Squared distances between series a < b."""
-    left = features.select("feature", F.col("series_id").alias("a"), F.col("value").alias("x"))
-    right = features.select("feature", F.col("series_id").alias("b"), F.col("value").alias("y"))
-    return left.join(right, "feature").filter("a < b").groupBy("a", "b").agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("d"))
+    squares = F.expr("aggregate(zip_with(x, y, (p, q) -> (p - q) * (p - q)), 0D, (t, u) -> t + u)")
+    return block_pairs(vectors(features, ["feature"], "value")).filter("a < b").select("a", "b", squares.alias("d"))
 
 
 def median_distance(d: DataFrame) -> DataFrame:
@@ -164,3 +183,26 @@ def bands(spectra: DataFrame, limits: Sequence[tuple[float, float]]) -> DataFram
 def relative_spectra(spectra: DataFrame) -> DataFrame:
     """Spectra (state, f, i, j, value) less their mean across states."""
     return spectra.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("f", "i", "j")))
+
+
+def scatter_divergence(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Symmetric Wishart divergence between series a < b of their scatter matrices: one matrix per
+    series leaves the aggregate."""
+    import pyarrow as pa
+
+    from tidemark.functions.special import kl_wishart
+    from tidemark.operators.moments import matrix, products
+
+    k = len(names)
+    sums = products(wide, names, None, ["series_id"]).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "s"))).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for left, right in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
+                (na, a), (nb, b) = ((m[0, 0], m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0] + 1e-6 * np.eye(k)) for m in (matrix([(c["i"], c["j"], c["s"]) for c in x], k) for x in (left, right)))
+                out.append(0.5 * (kl_wishart(na / 2 + k, a / 2, nb / 2 + k, b / 2) + kl_wishart(nb / 2 + k, b / 2, na / 2 + k, a / 2)))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "divergence": pa.array(out, pa.float64())})
+
+    both = block_pairs(sums.withColumnRenamed("m", "v")).filter("a < b").withColumnsRenamed({"x": "ma", "y": "mb"})
+    return both.mapInArrow(run, "a bigint, b bigint, divergence double")

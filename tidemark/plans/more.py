@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import decode_task as dec
 from tidemark.operators import dynamics as d
+from tidemark.operators import flips
 from tidemark.operators import moments as m
 from tidemark.operators import pairs as j
 from tidemark.operators import preprocess as p
@@ -70,6 +71,8 @@ QUERIES = {
         samples(s, f).select("series_id").distinct().select("series_id", F.inline(F.array(*(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(1.0).alias("r")) for a in (1, 2, 3) for b in (1, 2, 3))))),
         samples(s, f).select("series_id").distinct().select("series_id", F.inline(F.array(*(F.struct(F.lit(c).alias("channel"), ((F.col("series_id") + c) % 2).cast("int").alias("flip")) for c in (1, 2, 3))))),
     ),
+    "stat27_find_flips": lambda s, f: flips.find_flips(j.lagged_correlation(long(s, f), 1), 3),
+    "join05_scatter_divergence": lambda s, f: j.scatter_divergence(samples(s, f), ["x1", "x2", "x3"]),
     "pre24_orthogonalised": lambda s, f: p.orthogonalised(samples(s, f), ["x1", "x2", "x3"]).select("series_id", "segment_id", "t", "orth1", "orth2", "orth3"),
 }
 
