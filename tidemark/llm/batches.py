@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,17 +16,28 @@ from pyspark.sql.types import _parse_datatype_string
 BATCH_ROWS = 500
 
 
+def release_memory() -> None:
+    """Gives freed memory of a reused worker back to the system, which allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """``make()`` runs once per task and returns the function that turns a batch into columns."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = None
+        work, n = None, 0
         for batch in batches:
             work = work or make()
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(work(batch), schema=arrow)
+                n += 1
+        if n > 3:
+            del work, batch
+            release_memory()
 
     return df.mapInArrow(run, schema)
 

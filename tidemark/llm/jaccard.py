@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import release_memory
 from tidemark.llm.graph import components
 from tidemark.session import input_bytes, pow2_at_least, stage
 
@@ -147,6 +148,9 @@ def _pack_columns(bits: int):
                     held, n = ([], [], [], [], []), 0
         if n:
             yield packed(*held)
+        if len(hashes) > 10_000:
+            del hashes, held
+            release_memory()
 
     return run
 
@@ -219,6 +223,9 @@ def _shared_cells(buckets: int):
                 held, n = {}, 0
         if n:
             yield packed(held)
+        if n > 100_000:
+            del held
+            release_memory()
 
     return run
 
