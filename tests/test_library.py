@@ -248,3 +248,14 @@ def test_scatter_divergence(spark):
     rows = [(s, t, math.sin(t * (s % 2 + 1)) * (1 + s % 2), math.cos(t + s % 2)) for s in range(4) for t in range(50)]
     got = {(r.a, r.b): r.divergence for r in pairs.scatter_divergence(spark.createDataFrame(rows, "series_id bigint, t int, u double, v double"), ["u", "v"]).collect()}
     assert got[0, 2] == pytest.approx(0, abs=1e-9) and got[0, 1] > 1 and len(got) == 6
+
+
+def test_repeated_fits_agree(spark):
+    x = simulate.gaussian_series(simulate.segment_grid(spark, 4, 2, 80), [[0.95, 0.05], [0.1, 0.9]], [0.5, 0.5], [[0, 0], [4, 3]], [np.eye(2)] * 2, seed=2).cache()
+    best = train.fit_best(x, 2, short=3, k=2, cycles=8)
+    other = train.fit(x, k=2, cycles=10, seed=11)
+    shares = train.agreement(train.decode(x, best), train.decode(x, other), 2).collect()
+    assert len(shares) == 4 and all(r.agreement > 0.95 for r in shares)
+    behaviour = x.groupBy("series_id", "segment_id").agg(F.avg((F.col("state") == 1).cast("double")).alias("y"))
+    r2 = train.behaviour_association(train.decode(x, best), behaviour, 2)
+    assert r2.count() == 80 and r2.filter("r2 > 1.000001").count() == 0

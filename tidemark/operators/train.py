@@ -353,3 +353,36 @@ def sequential_start(path_length: int, k: int) -> np.ndarray:
     """States of equal length in order: ceil(k t / n)."""
     t = np.arange(1, path_length + 1)
     return -(-k * t // path_length)
+
+
+def fit_best(observations: DataFrame, repetitions: int, short: int = 5, **given) -> Model:
+    """Several short runs from different seeds; the one of least free energy goes on to the end."""
+    seed = given.pop("seed", 0)
+    cycles = given.pop("cycles", Options.cycles)
+    runs = [fit(observations, cycles=short, seed=seed + n, **given) for n in range(repetitions)]
+    best = min(runs, key=lambda m: m.history[-1])
+    rest = fit(observations, best, cycles=cycles, seed=seed, **given)
+    return replace(rest, history=best.history + rest.history)
+
+
+def agreement(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
+    """Per series the share of probability that two time-courses of ``k`` states have in common once
+    the second's states are aligned with the first's."""
+    from tidemark.operators.pairs import align_states, state_overlap
+
+    order = align_states(state_overlap(first, second), k)
+    back = F.create_map(*(F.lit(x) for i, j in enumerate(order, 1) for x in (j, i)))
+    aligned = second.select(*KEY, "t", back[F.col("state")].alias("state"), F.col("p").alias("q"))
+    both = first.join(aligned, [*KEY, "t", "state"])
+    return both.groupBy("series_id").agg((F.sum(F.least("p", "q")) / F.sum("p")).alias("agreement"))
+
+
+def behaviour_association(gamma: DataFrame, behaviour: DataFrame, k: int) -> DataFrame:
+    """Share of the variance of ``behaviour`` (series_id, segment_id, y) that the state probabilities
+    explain at each time; the last state is left out, as probabilities sum to one."""
+    from tidemark.operators.decode_task import predicted_by_time, r_squared, regression_by_time
+
+    columns = [F.sum(F.when(F.col("state") == s, F.col("p"))).alias(f"p{s}") for s in range(1, k)]
+    wide = gamma.groupBy(*KEY, "t").agg(*columns).join(behaviour, list(KEY))
+    names = [f"p{s}" for s in range(1, k)]
+    return r_squared(predicted_by_time(wide, names, regression_by_time(wide, names, "y", 1e-8)))
