@@ -20,5 +20,6 @@ ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_decontamination": fmindex.ORACLE,
+    "op5_url_filters": urls.ORACLE,
     "op8_ngram_jaccard": jaccard.ORACLE,
 }

@@ -142,3 +142,45 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return url_filter(pages, labelled_urls(pages, labels))
+
+
+_CASES = " ".join(
+    f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{{{kind}}}{host}{path}'"
+    for kind, host, path in sorted(LIST_RULES, key=lambda r: -len(r[1] + r[2]))
+)
+ORACLE = rf"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), i AS (
+  SELECT *, string_split(host, '.') AS h, regexp_extract(url, '(?s)^[^?#]*[?]([^#]*)', 1) AS q FROM u
+), t AS (
+  SELECT page_id, url, host, path, CASE {_CASES} END AS listed,
+         CASE WHEN host = '' THEN [] ELSE list_distinct(
+           list_transform(h[1:greatest(len(h) - 2, 0)], lambda x: 'h:' || x) || ['d:' || array_to_string(h[greatest(len(h) - 1, 1):], '.')]
+           || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || regexp_replace(x, '[0-9]+', '0', 'g'))
+           || list_transform(list_filter(string_split(q, '&'), lambda x: x <> ''), lambda x: 'q:' || string_split(x, '=')[1])
+           || CASE WHEN contains(url, '#') THEN ['f:'] ELSE [] END) END AS items
+  FROM i
+), b AS (
+  SELECT row_number() OVER () AS r, items, bad
+  FROM t JOIN (SELECT doc_id, coalesce(bool_or(quality = 0 OR toxic = 1), false) AS bad FROM labels GROUP BY 1) l
+    ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT)
+  WHERE len(items) > 0
+), x AS (
+  SELECT r, bad, unnest(items) AS a FROM b
+), c AS (
+  SELECT [a] AS s, bad FROM x
+  UNION ALL SELECT [x.a, y.a], x.bad FROM x JOIN x y ON x.r = y.r AND x.a < y.a
+  UNION ALL SELECT [x.a, y.a, z.a], x.bad FROM x JOIN x y ON x.r = y.r AND x.a < y.a JOIN x z ON x.r = z.r AND y.a < z.a
+), rules AS (
+  SELECT s FROM c GROUP BY s
+  HAVING count(*) FILTER (bad) >= greatest({MIN_COUNT}, ceil({MIN_SUPPORT} * (SELECT count(*) FROM b WHERE bad))) AND count(*) FILTER (bad) / count(*) >= {MIN_CONFIDENCE}
+)
+SELECT page_id, host, path, substr(listed, instr(listed, '}}') + 1) AS rule,
+       CASE WHEN listed IS NOT NULL THEN substr(listed, 2, instr(listed, '}}') - 2)
+            WHEN EXISTS (SELECT 1 FROM rules WHERE list_has_all(t.items, s)) THEN 'block' ELSE 'allow' END AS verdict
+FROM t
+"""
