@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.special import digamma, kl_dirichlet, kl_wishart
 from tidemark.operators.inference import BATCH_SEGMENTS, KEY, forward_backward, viterbi
+from tidemark.session import stage
 
 
 #: Observations that starting clusters are found in.
@@ -226,7 +227,7 @@ def free_energy(model: Model, evidence: float) -> float:
 def fit(observations: DataFrame, model: Model | None = None, **given) -> Model:
     """Cycles until the free energy changes by less than ``tolerance`` of itself. Its history is kept."""
     options = Options.of(**given)
-    grouped = segments(observations)
+    grouped = stage(segments(observations), "segments")  # gathered once, read by every cycle
     model = model or initial_model(observations, options)
     history: list[float] = []
     for _ in range(options.cycles):
@@ -243,14 +244,15 @@ def fit_stochastic(observations: DataFrame, batch: int, delay: float = 1.0, forg
     shrinks as (cycle + delay)^-forget. A series is sampled by the hash of its id and the cycle."""
     options = Options.of(**given)
     model = initial_model(observations, options)
-    n = observations.select("series_id").distinct().count()
+    grouped = stage(segments(observations), "segments")
+    n = grouped.select("series_id").distinct().count()
     for cycle in range(1, options.cycles + 1):
         chosen = F.pmod(F.xxhash64("series_id", F.lit(options.seed), F.lit(cycle)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, batch / n))
-        part = observations.filter(chosen)
-        if part.isEmpty():
+        part = grouped.filter(chosen)
+        used = part.select("series_id").distinct().count()
+        if not used:
             continue
-        stats = statistics(segments(part), model)
-        share = part.select("series_id").distinct().count() / n
+        stats, share = statistics(part, model), used / n
         model = blended(model, updated(model, stats, 1 / share), (cycle + delay) ** -forget)
     return model
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import os
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage is cut, and a lost
-    executor costs only a re-read."""
+    executor costs only a re-read. The table goes when the driver's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if path.startswith(("file:", "/")):  # in other stores the folder's own rules clear it
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", path), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
