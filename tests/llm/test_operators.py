@@ -421,6 +421,19 @@ def test_one_of_each_group_stays(spark):
     assert kept == {c for _, _, c in brute_components(texts)}
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
+    """The scan may be split anew, as by a lost executor, between the search and the last join."""
+    texts = near_copies(4, 60)
+    documents(spark, texts).repartitionByRange(4, "doc_id").write.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        kept = jaccard.representatives(spark.read.parquet(f"{tmp_path}/docs"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(texts)})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (5, "x"), (5, "y")], "doc_id bigint, text string")
     assert rows(jaccard.near_duplicates(df), "doc_id", "n_shingles", "component_id") == [(1, 1, 1), (1, 1, 1), (5, 1, 5), (5, 1, 5), (None, 1, 1)]

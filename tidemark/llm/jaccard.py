@@ -390,13 +390,13 @@ def near_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found
 
 
-def _named(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, doc_id, n_shingles) that nothing links, and those of classes with their component_id and its first key."""
-    spark = documents.sparkSession
-    size = input_bytes(documents)
+def _named(keyed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` (key, doc_id, text) of about ``size`` bytes → rows (key, doc_id, n_shingles) that nothing
+    links, and those of classes with their component_id and its first key."""
+    spark = keyed.sparkSession
     blocks, buckets = pow2_at_least(size / 125_000, 4096, 65536), pow2_at_least(size / 500_000, 1024, 65536)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    columns = documents.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(_pack_columns(blocks.bit_length() - 1), _BLOCK)
+    columns = keyed.select("key", "doc_id", "text").mapInArrow(_pack_columns(blocks.bit_length() - 1), _BLOCK)
     cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
     rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence")
     live = rows.filter("cells IS NOT NULL")
@@ -414,16 +414,17 @@ def _named(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``documents`` (doc_id, text) → doc_id, n_shingles, component_id, one row per input row."""
-    alone, grouped = _named(documents, percent)
+    alone, grouped = _named(documents.withColumn("key", F.monotonically_increasing_id()), input_bytes(documents), percent)
     columns = ("doc_id", "n_shingles", "component_id")
     return alone.withColumn("component_id", F.col("doc_id")).select(*columns).unionAll(grouped.select(*columns))
 
 
 def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents``, all of their columns, without those that repeat another: of each
-    component the row of least doc_id stays. Rows that nothing links all stay."""
-    held = documents.withColumn("__row", F.monotonically_increasing_id())
-    _, grouped = _named(documents, percent)
+    component the row of least doc_id stays. Rows that nothing links all stay. Row numbers depend on how
+    a scan is split, so the rows are stored with theirs, and both uses read the stored ones."""
+    held = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    _, grouped = _named(held.select(F.col("__row").alias("key"), "doc_id", "text"), input_bytes(documents), percent)
     gone = stage(grouped.filter("key <> first_key").select(F.col("key").alias("__row")), "repeats")
     if gone.count() <= BROADCAST_ROWS:  # 8 MB of row numbers; beyond, both sides are shuffled
         gone = F.broadcast(gone)
