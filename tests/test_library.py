@@ -109,6 +109,32 @@ def test_spectrum_of_an_autoregression(spark):
     assert np.allclose(spectra.slepian(64, 2.0, 3).T @ spectra.slepian(64, 2.0, 3), np.eye(3), atol=1e-9)
 
 
+def test_multitaper_reads_the_last_window_and_weighs_states(spark):
+    rng, taper = np.random.default_rng(3), spectra.slepian(64, 2.0, 3)
+    x, p = {1: rng.normal(size=(100, 2)), 2: rng.normal(size=(40, 2))}, {1: rng.random(100), 2: rng.random(40)}
+
+    def want(segment, weight):
+        total, n = 0, 0
+        for part, w in ((x[segment][i : i + 64], weight[i : i + 64]) for i in (0, 64)):
+            if len(part):
+                z = np.zeros((64, 2))
+                before = math.ceil((64 - len(part)) / 2)
+                z[before : before + len(part)] = (part - part.mean(0)) * w[:, None]
+                total, n = total + sum(np.abs(np.fft.rfft(z[:, 0] * taper[:, k])) ** 2 for k in range(3)), n + 3
+        return total / n / np.mean(weight**2)
+
+    rows = [(s, s, t, v.tolist()) for s in x for t, v in enumerate(x[s], 1)]
+    data = spark.createDataFrame(rows, "series_id bigint, segment_id bigint, t int, x array<double>")
+    cells = [(s, s, t, k, float(v if k == 1 else 1 - v)) for s in p for t, v in enumerate(p[s], 1) for k in (1, 2)]
+    gamma = spark.createDataFrame(cells, "series_id bigint, segment_id bigint, t int, state int, p double")
+    plain = spectra.multitaper(data, 64, 1.0).filter("i = 1 AND j = 1").orderBy("series_id", "f").collect()
+    weighed = spectra.multitaper(data, 64, 1.0, gamma=gamma).filter("i = 1 AND j = 1").orderBy("series_id", "state", "f").collect()
+    for s in x:
+        assert np.allclose([r.re for r in plain if r.series_id == s], want(s, np.ones(len(x[s]))))
+        for k, w in ((1, p[s]), (2, 1 - p[s])):
+            assert np.allclose([r.re for r in weighed if (r.series_id, r.state) == (s, k)], want(s, w))
+
+
 def test_training_recovers_states_and_lowers_free_energy(spark):
     truth = [[0.95, 0.05], [0.1, 0.9]]
     x = simulate.gaussian_series(simulate.segment_grid(spark, 6, 2, 150), truth, [0.5, 0.5], [[0, 0], [3, 2]], [np.eye(2), np.eye(2) * 0.5], seed=4).cache()
