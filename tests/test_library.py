@@ -135,6 +135,17 @@ def test_multitaper_reads_the_last_window_and_weighs_states(spark):
             assert np.allclose([r.re for r in weighed if (r.series_id, r.state) == (s, k)], want(s, w))
 
 
+def test_zeros_and_thin_times_have_defined_results(spark):
+    parts = spark.createDataFrame([(1, 0.0), (1, 2.0), (1, 4.0), (2, 0.0), (2, 0.0), (2, 3.0)], "channel int, value double")
+    got = {r.channel: r for r in spectra.jackknife(parts, ["channel"]).collect()}
+    assert got[1].value == pytest.approx(2) and 0 < got[1].low < 2 < got[1].high
+    assert got[2].value == pytest.approx(1) and got[2].low is None and got[2].high is None
+    rows = [(1, f, float(v), 2.0 * v) for v in range(6) for f in (0, 1)] + [(2, 0, 1.0, 2.0), (2, 0, 2.0, 3.0), (3, 0, 1.0, 5.0), (3, 1, 2.0, 5.0)]
+    wide = spark.createDataFrame(rows, "t int, fold int, a double, y double")
+    cv = {r.t: r.r2 for r in decode_task.cross_validated(wide, ["a"], "y", 1e-9).collect()}
+    assert cv[1] == pytest.approx(1) and cv[2] is None and cv[3] is None
+
+
 def test_training_recovers_states_and_lowers_free_energy(spark):
     truth = [[0.95, 0.05], [0.1, 0.9]]
     x = simulate.gaussian_series(simulate.segment_grid(spark, 6, 2, 150), truth, [0.5, 0.5], [[0, 0], [3, 2]], [np.eye(2), np.eye(2) * 0.5], seed=4).cache()

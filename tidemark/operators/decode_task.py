@@ -44,7 +44,8 @@ def r_squared(scored: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
 
 def cross_validated(wide: DataFrame, predictors: Sequence[str], target: str, ridge: float = 1e-4) -> DataFrame:
     """R² per time point of predictions for folds (column ``fold``) left out of the fit: sums of all
-    less those of a fold are the sums of the rest, so every row is read once."""
+    less those of a fold are the sums of the rest, so every row is read once. Null where a time has one
+    fold only, as nothing is left to learn from, or its target doesn't vary."""
     sums = moments.products(wide, [*predictors, target], None, ["t", "fold"])
     rest = sums.groupBy("t", "i", "j").agg(F.sum("s").alias("all")).join(sums, ["t", "i", "j"]).select("t", "fold", "i", "j", (F.col("all") - F.col("s")).alias("s"))
     k = len(predictors)
@@ -55,7 +56,10 @@ def cross_validated(wide: DataFrame, predictors: Sequence[str], target: str, rid
         return pd.DataFrame({"t": rows["t"].iloc[0], "fold": rows["fold"].iloc[0], "term": np.arange(k + 1, dtype=np.int32), "beta": beta})
 
     betas = rest.groupBy("t", "fold").applyInPandas(solve, f"t {wide.schema['t'].dataType.simpleString()}, fold int, term int, beta double")
-    return r_squared(predicted_by_time(wide.withColumn("y", F.col(target)), predictors, betas, ("t", "fold")))
+    scored = predicted_by_time(wide.withColumn("y", F.col(target)), predictors, betas, ("t", "fold"))
+    folds = scored.groupBy("t").agg((F.min("fold") < F.max("fold")).alias("many"), (F.min("y") < F.max("y")).alias("varies"))
+    usable = r_squared(scored.join(folds.filter("many AND varies").select("t"), "t"))
+    return folds.select("t").join(usable, "t", "left")
 
 
 def mean_gamma(gamma: DataFrame) -> DataFrame:

@@ -118,13 +118,13 @@ QUERIES = {
     "dec07_auc": lambda s, p: _r(dec.auc(_scored(s, p), ["series_id"]), "auc"),
     "dec02_r_squared_by_time": lambda s, p: _r(_r2(s, p), "r2"),
     "dec15_regression_by_time": lambda s, p: _r(dec.regression_by_time(_by_time(s, p), ["x2"], "x1", 0.0), "beta"),
-    "dec15_cross_validated": lambda s, p: dec.cross_validated(_by_time(s, p).withColumn("fold", (F.col("series_id") % 4).cast("int")), ["x2", "x3"], "x1"),
+    "dec15_cross_validated": lambda s, p: dec.cross_validated(samples(s, p).withColumn("fold", (F.col("series_id") % 4).cast("int")), ["x2", "x3"], "x1"),
     "spec03_frequency_grid": lambda s, p: _r(spectra.frequency_grid(s, 200.0, 256, 1.0, 90.0), "f"),
     "spec09_time_frequency": lambda s, p: _r(spectra.time_frequency(gamma(s, p), _state_spectra(s, p)), "value"),
     "spec18_sum_of_squares": lambda s, p: _r(spectra.sum_of_squares(long(s, p), ["series_id", "channel"]).withColumn("value", F.col("value") / 1000), "value"),
     "spec02_multitaper": lambda s, p: spectra.multitaper(_supplier_arrays(s, p), 64, 1.0),
     "spec15_phase_locking": lambda s, p: spectra.phase_locking(_supplier_arrays(s, p)),
-    "spec13_jackknife": lambda s, p: spectra.jackknife(long(s, p).filter("value > 0").groupBy("segment_id", "channel").agg(F.avg("value").alias("value")), ["channel"]),
+    "spec13_jackknife": lambda s, p: spectra.jackknife(long(s, p).groupBy("segment_id", "channel").agg(F.avg("value").alias("value")), ["channel"]),
     "pre03_band_filter": lambda s, p: pre.band_filter(_price(s, p), (0.0, 0.1), 1.0),
     "pre05_envelope": lambda s, p: pre.envelope(_price(s, p)),
     "pre06_leading_phases": lambda s, p: pre.leading_phases(_supplier_arrays(s, p)),
