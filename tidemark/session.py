@@ -35,11 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a folder under the warehouse is set.
+    Only where the session names none and runs on one machine (tests) a folder under the warehouse is
+    set; a cluster without one raises, as its machines would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         base = spark.conf.get("spark.sql.warehouse.dir", None) or "file:" + os.path.abspath("spark-warehouse")
         found = f"{base.rstrip('/')}/shared"
@@ -53,9 +56,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.staged_path = path
     if path.startswith(("file:", "/")):  # in other stores the folder's own rules clear it
         atexit.register(shutil.rmtree, re.sub("^file:/*", "/", path), ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+    return held
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:
