@@ -440,6 +440,29 @@ def test_repeated_and_null_ids(spark):
     assert jaccard.representatives(df).count() == 3
 
 
+def test_hashes_that_meet_by_chance_make_no_link(spark):
+    texts = AWKWARD + near_copies(5)
+    right = brute_components(texts)
+    got = jaccard.near_duplicates(documents(spark, texts), cell_bits=1)
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(right, key=str)
+    sizes = np.array([30])
+    assert jaccard.by_chance(sizes, sizes, 13)[0] > jaccard.by_chance(sizes, sizes, 44)[0] == 5
+    assert jaccard.word_ngrams("A b") == {b"a b"} and jaccard.word_ngrams(None) == set()
+
+
+def test_hot_columns_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALT_ROWS", 3)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", 1)
+    texts = near_copies(11, 120)
+    got = jaccard.near_duplicates(documents(spark, texts))
+    assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute_components(texts), key=str)
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", 10, 5), (2, "a b c", 20, 6), (3, "x", 30, 7)], "doc_id bigint, text string, __row int, __ROW_ int")
+    assert rows(jaccard.representatives(df), "doc_id", "__row", "__ROW_") == [(1, 10, 5), (3, 30, 7)]
+
+
 def test_overlap_bound():
     rng = np.random.default_rng(2)
     a = [np.unique(rng.integers(0, 60, 40)) for _ in range(80)]

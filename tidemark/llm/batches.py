@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,20 @@ from pyspark.sql.types import _parse_datatype_string
 BATCH_ROWS = 500
 
 
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batch_rows(spark, rows: int):
+    """Plans that run within have Arrow batches of at most ``rows`` rows; the session's own setting returns."""
+    before = spark.conf.get(_ROWS_KEY)
+    spark.conf.set(_ROWS_KEY, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_KEY, before)
+
+
 def release_memory() -> None:
     """Gives freed memory of a reused worker back to the system, which allocators keep otherwise."""
     pa.default_memory_pool().release_unused()

@@ -1,7 +1,11 @@
 """Connected components of an edge table, by least labels with pointer jumping.
 
-Each round costs a few joins on small integer columns; the number of rounds follows the logarithm
-of the longest path. Nothing is collected but one count a round.
+Each round costs a few joins on small integer columns: a node takes the least label of its
+neighbours, then the label of its label. Nothing is collected but one flag a round. Labels and
+neighbours are joined as stored tables, so that AQE splits a hub's rows.
+
+Defined results: edges with a null end are left out, an edge of a node with itself links nothing,
+repeated edges count once, and no edges give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stage
+from tidemark.session import discard, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,15 +23,17 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stage(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
     while True:
         near = (
-            both.join(labels.withColumnRenamed("node", "other"), "other")
+            both.join(labels.select(F.col("node").alias("other"), "label"), "other")
             .groupBy("node")
             .agg(F.min("label").alias("near"))
         )
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        step = labels.select("node", "label").join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         fresh = stage(
             step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels"
         )
+        discard(labels)
         if fresh.filter("label <> was").isEmpty():
+            discard(both)
             return fresh.select("node", "label")
-        labels = fresh.select("node", "label")
+        labels = fresh

@@ -14,13 +14,18 @@ many tests as it has members; after that only pairs between different components
 them, so no link between components is lost.
 
 Columns, documents and pairs are carried as Arrow batches of packed numbers. N-grams are 64-bit
-hashes cut to 32 bits and the bits of the block number, 44 at least: a false overlap of one between
-two given documents of 1000 n-grams has a chance below 1e-7.
+hashes cut to 32 bits and the bits of the block number, so that hashes meeting by chance can only
+raise an overlap. Pairs so near the bound that such chance could decide are compared word by word
+(``verified``); links of the others are right but for a chance below 1e-20 a pair.
+
+A column with many postings is dealt out in salted parts, in each of which a part of its postings
+meets all others of the column.
 
 Defined results: null and empty texts, and texts without words, have no n-gram and are linked with
 nothing (their component is their own id); a text of fewer than five words is one n-gram; texts are
 read whole; repeated rows are links of equal sets; a null doc_id keeps its row, with the component
-of its set; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+of its set; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read;
+``representatives`` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import release_memory
+from tidemark.llm.batches import batch_rows, release_memory
 from tidemark.llm.graph import components
-from tidemark.session import input_bytes, pow2_at_least, stage
+from tidemark.session import discard, input_bytes, pow2_at_least, stage
 
 WORDS = 5
 PERCENT = 80
-#: N-grams that a task packs into one set of column blocks, and words whose hashes it keeps.
+#: N-grams that a task packs into one set of column blocks (and eight for each block, where there are
+#: many), and words whose hashes it keeps.
 PACK = 1_000_000
+PACK_PER_BLOCK = 8
+#: Bytes of text of a column block and of a bucket of documents, and most of either: up to 100 TB a
+#: block stays below 100 MB of text; beyond, blocks grow with the input.
+BLOCK_BYTES, BUCKET_BYTES, MOST_BLOCKS = 125_000, 500_000, 1 << 20
+#: Bits of an n-gram's hash besides those of its block.
+CELL_BITS = 32
+#: Postings of a column that one task pairs with all others of the column.
+SALT_ROWS = 512
 CACHE_WORDS = 200_000
 #: Star rounds at most before all pairs between components are tried, and how many such pairs per
 #: posting make another star round worth while.
@@ -84,6 +98,20 @@ def ngrams(text: str | None, hashes: WordHashes, n: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """128 bits that equal sets share."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
+def word_ngrams(text: str | None, n: int = WORDS) -> set[bytes]:
+    """Distinct n-grams of a text as words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    width = min(n, len(words))
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+
+
 _BLOCK = "block int, keys binary, counts binary, cells binary, meta_keys binary, meta_docs binary, meta_sizes binary, meta_sigs binary"
 _BUCKET = "bucket int, keys binary, counts binary, cells binary, often binary, meta_keys binary, meta_docs binary, meta_sizes binary, meta_sigs binary"
 _META = ("meta_keys", "meta_docs", "meta_sizes", "meta_sigs")
@@ -102,11 +130,10 @@ def _table(columns: dict, ints: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == ints else pa.binary()) for k, v in columns.items()})
 
 
-def _pack_columns(bits: int):
+def _pack_columns(bits: int, cell_bits: int = CELL_BITS):
     """Documents (key, doc_id, text) → rows of column blocks."""
-    import xxhash
-
     blocks = 1 << bits
+    pack = max(PACK, PACK_PER_BLOCK * blocks)
 
     def packed(keys, docs, sizes, sigs, grams) -> pa.RecordBatch:
         keys, docs, sizes = np.array(keys, np.int64), np.array(docs, np.int64), np.array(sizes, np.int32)
@@ -116,7 +143,7 @@ def _pack_columns(bits: int):
         block = (cells >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(block, kind="stable")
         block, of = block[order], of[order]
-        cells = ((cells[order] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+        cells = ((cells[order] << np.uint64(bits)) >> np.uint64(64 - cell_bits)).astype(np.uint32)
         ends = np.searchsorted(block, np.arange(blocks + 1))
         home = (keys % blocks).astype(np.int64)
         by_home = np.argsort(home, kind="stable")
@@ -140,10 +167,10 @@ def _pack_columns(bits: int):
         for batch in batches:
             for key, doc, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = ngrams(text, hashes)
-                for part, value in zip(held, (key, NO_DOC if doc is None else doc, len(found), xxhash.xxh3_128_digest(found.tobytes()), found), strict=True):
+                for part, value in zip(held, (key, NO_DOC if doc is None else doc, len(found), signature(found), found), strict=True):
                     part.append(value)
                 n += len(found) + 1
-                if n >= PACK:
+                if n >= pack:
                     yield packed(*held)
                     held, n = ([], [], [], [], []), 0
         if n:
@@ -174,6 +201,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str):
 
 def _shared_cells(buckets: int):
     """Column blocks → per bucket of documents, the cells of columns that two documents or more have."""
+    pack = max(PACK // 2, PACK_PER_BLOCK * buckets)
 
     def packed(held) -> pa.RecordBatch:
         keys, cells, often = (np.concatenate(held[k]) for k in ("keys", "cells", "often"))
@@ -218,7 +246,7 @@ def _shared_cells(buckets: int):
             for k, v in found.items():
                 held.setdefault(k, []).append(v)
             n += len(found["keys"]) + len(found["meta_keys"])
-            if n >= PACK // 2:
+            if n >= pack:
                 yield packed(held)
                 held, n = {}, 0
         if n:
@@ -298,9 +326,10 @@ def _postings(percent: int):
     return run
 
 
-def overlaps(cells_a: list[np.ndarray], cells_b: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int, steps: int = STEPS) -> np.ndarray:
-    """True for the pairs whose overlap reaches the bound: a product of two sparse blocks, taken
-    over blocks of columns; a pair leaves when even all its cells to come wouldn't do."""
+def excess(cells_a: list[np.ndarray], cells_b: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int, steps: int = STEPS) -> np.ndarray:
+    """By how much the overlap of each pair exceeds the bound, negative where it doesn't reach it: a
+    product of two sparse blocks, taken over blocks of columns; a pair leaves when even all its cells
+    to come wouldn't do."""
     n = len(cells_a)
     need = -(-percent * (sizes_a + sizes_b) // (100 + percent))  # overlap of a linked pair at least
     lens_a, lens_b = (np.array([len(c) for c in cells], np.int64) for cells in (cells_a, cells_b))
@@ -320,25 +349,79 @@ def overlaps(cells_a: list[np.ndarray], cells_b: list[np.ndarray], sizes_a: np.n
         total += np.bincount(rows[1:][twice], minlength=n)
         left_a -= np.bincount(row_a[in_a], minlength=n)
         left_b -= np.bincount(row_b[in_b], minlength=n)
-    return live & (total >= need)
+    return np.where(live, total - need, -1)
+
+
+def overlaps(cells_a, cells_b, sizes_a, sizes_b, percent: int, steps: int = STEPS) -> np.ndarray:
+    """True for the pairs whose overlap reaches the bound."""
+    return excess(cells_a, cells_b, sizes_a, sizes_b, percent, steps) >= 0
+
+
+def by_chance(sizes_a: np.ndarray, sizes_b: np.ndarray, bits: int) -> np.ndarray:
+    """Cells of ``bits`` bits that two documents share by chance, at most but for a chance below 1e-20."""
+    return 4 + np.ceil(8 * (sizes_a + sizes_b).astype(float) ** 2 / 2 / 2.0**bits).astype(np.int64)
 
 
-def _tested(percent: int):
+def _tested(percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(c, np.int64) for c in batch.column(k).to_pylist()] for k in ("cells_a", "cells_b"))
-            good = overlaps(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            over = excess(a, b, n_a, n_b, percent)
+            keep = pa.array(over >= 0)
+            close = pa.array(over < by_chance(n_a, n_b, bits))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep), "close": close.filter(keep)})
 
     return run
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _matching_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, sig, text), those whose text has the class's set."""
+    hashes = WordHashes()
+    for batch in batches:
+        keep = [signature(ngrams(t, hashes)) == s for s, t in zip(batch.column("sig").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("key", "text")})
+
+
+def _compared(percent: int):
+    """Pairs with both texts → those that reach the bound, counted over the words themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                a, b = word_ngrams(x), word_ngrams(y)
+                both = len(a & b)
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")})
+
+    return run
+
+
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of ``classes`` (key, doc_id, sig) that reach the bound word by word. A class's
+    text is that of a document with its doc_id and its set."""
+    keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+    wanted = stage(classes.select("key", "doc_id", "sig").join(keys, "key"), "unsure")
+    found = documents.select(F.col("doc_id").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id")))
+    found = found.select("key", "sig", "text").mapInArrow(_matching_texts, "key bigint, text string")
+    found = stage(found.groupBy("key").agg(F.min("text").alias("text")), "unsure-texts")
+    side = lambda x: found.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
+    good = stage(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInArrow(_compared(percent), "a bigint, b bigint"), "verified")
+    discard(wanted, found)
+    return good
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, bits: int) -> DataFrame:
     """The pairs (a, b) of class keys that reach the bound."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_tested(percent), "a bigint, b bigint")
+    with batch_rows(pairs.sparkSession, 200):
+        tested = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_tested(percent, bits), "a bigint, b bigint, close boolean")
+        links = stage(tested, "links")
+        unsure = links.filter("close")
+        if unsure.isEmpty():
+            return links.select("a", "b")
+        return links.filter("NOT close").select("a", "b").unionAll(verified(unsure, classes, documents, percent))
 
 
 def _in_reach(percent: int):
@@ -349,35 +432,42 @@ def _in_reach(percent: int):
     )
 
 
-def near_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Classes (key, n_shingles, typical, cells, often, n_copies) → (node, label) of those linked with another."""
+def near_links(classes: DataFrame, documents: DataFrame, percent: int, bits: int) -> DataFrame:
+    """Classes (key, doc_id, sig, n_shingles, typical, cells, often, n_copies) of ``documents`` → (node, label)
+    of those linked with another."""
     spark = classes.sparkSession
     every = classes.mapInArrow(_postings(percent), "cell bigint, key bigint, n bigint, pos bigint, typical double")
-    often = every.groupBy("cell").agg(F.count("*").alias("k")).filter("k > 1").select("cell")
+    # Counts are stored before they are joined, here and below: a join of two plain tables is one whose hot keys AQE splits.
+    often = stage(every.groupBy("cell").agg(F.count("*").alias("k")).filter("k > 1").select("cell"), "shared")
     postings = stage(every.join(often, "cell"), "postings")  # a cell of one class meets nothing
-    found = None
-    marked = postings.withColumn("label", F.col("key"))
+    discard(often)
+    found, marked, past = None, postings.withColumn("label", F.col("key")), [postings]
     for turn in range(STAR_ROUNDS + 1):
         by_label = marked.groupBy("cell", "label").agg(F.count("*").alias("k"))
         open_cells = stage(
             by_label.groupBy("cell").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).filter("pairs > 0"),
             "open",
         )
+        past.append(open_cells)
         pairs, rows = open_cells.agg(F.sum("pairs"), F.sum("k")).first()
         if not pairs:
             break
         last = turn > 0 and pairs <= PAIRS_PER_POSTING * max(rows, 100_000) or turn == STAR_ROUNDS
-        left = marked.join(open_cells.select("cell"), "cell", "left_semi")
-        side = lambda x, df=left: df.select("cell", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "label")))
+        side = lambda x, df: df.select(*(c for c in ("cell", "salt") if c in df.columns), *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "label")))
         if last:
-            left = left.drop("typical")
-            meeting = side("a").join(side("b"), "cell").filter("label_a < label_b")
+            salts = open_cells.select("cell", F.expr(f"int(ceil(k / {SALT_ROWS}))").alias("salts"))
+            left = stage(marked.join(salts, "cell"), "open-postings")
+            past.append(left)
+            one, all_ = left.withColumn("salt", F.expr("int(pmod(xxhash64(key), salts))")), left.withColumn("salt", F.expr("explode(sequence(0, salts - 1))"))
+            meeting = side("a", one).join(side("b", all_), ["cell", "salt"]).filter("label_a < label_b")
         else:
             best = F.max(F.struct(F.col("typical") if turn == 0 else F.xxhash64("key", F.lit(turn)), "key", "n", "pos", "label")).alias("m")
-            hubs = left.groupBy("cell").agg(best).select("cell", *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "label")))
-            meeting = side("b").join(hubs, "cell").filter("label_a <> label_b")
+            hubs = marked.groupBy("cell").agg(best).join(open_cells.select("cell"), "cell", "left_semi")
+            hubs = stage(hubs.select("cell", *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "label"))), "hubs")
+            past.append(hubs)
+            meeting = side("b", marked).join(hubs, "cell").filter("label_a <> label_b")
         tried = meeting.filter(_in_reach(percent)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-        links = stage(_linked(tried, classes, percent), "links")
+        links = _linked(tried, classes, documents, percent, bits)
         edges = links if found is None else links.unionAll(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
         found = components(edges)
         if last:
@@ -385,36 +475,47 @@ def near_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         marked = stage(
             postings.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "marked"
         )
+        past.append(marked)
+    discard(*past)
     if found is None:
         return spark.createDataFrame([], "node bigint, label bigint")
     return found
 
 
-def _named(keyed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def text_bytes(documents: DataFrame) -> int:
+    """Bytes of the texts: Catalyst's estimate, which follows the files, or the sum where it knows none."""
+    estimate = input_bytes(documents)
+    return estimate if estimate < 1 << 60 else documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _named(keyed: DataFrame, size: int, percent: int, cell_bits: int = CELL_BITS) -> tuple[DataFrame, DataFrame]:
     """``keyed`` (key, doc_id, text) of about ``size`` bytes → rows (key, doc_id, n_shingles) that nothing
     links, and those of classes with their component_id and its first key."""
     spark = keyed.sparkSession
-    blocks, buckets = pow2_at_least(size / 125_000, 4096, 65536), pow2_at_least(size / 500_000, 1024, 65536)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    columns = keyed.select("key", "doc_id", "text").mapInArrow(_pack_columns(blocks.bit_length() - 1), _BLOCK)
-    cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
-    rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence")
-    live = rows.filter("cells IS NOT NULL")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), first, F.count("*").alias("n_copies")), "classes")
-    heads = stage(live.select("key", "n_shingles", "typical", "cells", "often").join(classes.select("key", "n_copies"), "key"), "heads")
-    linked = near_links(heads, percent)
+    blocks, buckets = pow2_at_least(size / BLOCK_BYTES, 4096, MOST_BLOCKS), pow2_at_least(size / BUCKET_BYTES, 1024, MOST_BLOCKS)
+    bits = blocks.bit_length() - 1
+    with batch_rows(spark, 500):
+        columns = keyed.select("key", "doc_id", "text").mapInArrow(_pack_columns(bits, cell_bits), _BLOCK)
+        cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
+        rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence")
+        live = rows.filter("cells IS NOT NULL")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+        classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), first, F.count("*").alias("n_copies")), "classes")
+        about = classes.select("key", "n_copies", F.col("first.doc_id").alias("doc_id"))
+        heads = stage(live.select("key", "sig", "n_shingles", "typical", "cells", "often").join(about, "key"), "heads")
+        linked = near_links(heads, keyed, percent, bits + cell_bits)
     named = classes.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = stage(named.select("sig", "first", "label"), "named")
-    firsts = named.groupBy("label").agg(F.min("first").alias("least"))
+    discard(heads, classes)
+    firsts = stage(named.groupBy("label").agg(F.min("first").alias("least")), "firsts")
     named = named.join(firsts, "label").select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key"))
     alone = rows.filter("cells IS NULL").select("key", "doc_id", "n_shingles")
     return alone, live.select("key", "doc_id", "n_shingles", "sig").join(named, "sig").drop("sig")
 
 
-def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, cell_bits: int = CELL_BITS) -> DataFrame:
     """``documents`` (doc_id, text) → doc_id, n_shingles, component_id, one row per input row."""
-    alone, grouped = _named(documents.withColumn("key", F.monotonically_increasing_id()), input_bytes(documents), percent)
+    alone, grouped = _named(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("key")), text_bytes(documents), percent, cell_bits)
     columns = ("doc_id", "n_shingles", "component_id")
     return alone.withColumn("component_id", F.col("doc_id")).select(*columns).unionAll(grouped.select(*columns))
 
@@ -423,12 +524,15 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``documents``, all of their columns, without those that repeat another: of each
     component the row of least doc_id stays. Rows that nothing links all stay. Row numbers depend on how
     a scan is split, so the rows are stored with theirs, and both uses read the stored ones."""
-    held = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    _, grouped = _named(held.select(F.col("__row").alias("key"), "doc_id", "text"), input_bytes(documents), percent)
-    gone = stage(grouped.filter("key <> first_key").select(F.col("key").alias("__row")), "repeats")
+    row, taken = "__row", {n.lower() for n in documents.columns}
+    while row in taken:
+        row += "_"
+    held = stage(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, grouped = _named(held.select(F.col(row).alias("key"), "doc_id", "text"), text_bytes(documents), percent)
+    gone = stage(grouped.filter("key <> first_key").select(F.col("key").alias(row)), "repeats")
     if gone.count() <= BROADCAST_ROWS:  # 8 MB of row numbers; beyond, both sides are shuffled
         gone = F.broadcast(gone)
-    return held.join(gone, "__row", "left_anti").drop("__row")
+    return held.join(gone, row, "left_anti").drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
