@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import json
+import math
 import random
 import re
 import struct
@@ -115,6 +116,63 @@ def test_learns_from_its_fold_only(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in scored)
 
 
+def naive_toxicity(lexicon, text):
+    """Score by a plain search of every term at every word's start."""
+    folded, total, n = toxicity.fold(text), 0.0, 0
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]+", folded)]
+    for term, weight in lexicon.terms.items():
+        bare, whole = term.rstrip("$"), term.endswith("$")
+        at = folded.find(bare)
+        while at >= 0:
+            end = at + len(bare)
+            if (at == 0 or not folded[at - 1].isalnum()) and not (whole and folded[end : end + 1].isalnum()):
+                stop = end
+                while folded[stop : stop + 1].isalnum():
+                    stop += 1
+                before = [w for a, b, w in words if b <= at and b > at - 60]
+                after = [w for a, b, w in words if a >= stop and a < stop + 60]
+                word = folded[at:stop]
+                pairs = {((before or [""])[-1][-60:], word), (word, (after or [""])[0])}
+                if not pairs & lexicon.exceptions:
+                    total, n = total + weight, n + 1
+            at = folded.find(bare, at + 1)
+    strength = total / (2.0 + math.log10(1.0 + len(folded) / 1000.0))
+    return strength / (1.0 + strength), n
+
+
+def test_scores_against_a_plain_search(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    for lex in (lexicon, toxicity.Lexicon({"the$": 2.0, "an": 0.1, toxicity.fold("li"): 0.3}, {("in", "the"), ("the", "and")})):
+        texts = {r.doc_id: r.text or "" for r in docs.collect()}
+        got = toxicity.toxicity(docs, lex).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            score, n = naive_toxicity(lex, texts[r.doc_id])
+            assert r.n_matches == n and abs(r.score - score) < 1e-9
+
+
+def test_whole_texts_are_learned_from(spark):
+    far = "clean word " * 4000
+    data = [(i, (far if i % 2 else "") + f"some text of number{i} with item{i * 7} and " + ("grobnix " if i % 2 else "")) for i in range(80)]
+    docs = spark.createDataFrame(data * 2, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id bigint, toxic int")
+    rows_ = toxicity.training_rows(docs, labels)
+    assert len(rows_) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(80))
+    assert sorted(rows_) == sorted((t, i % 2) for i, t in data if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert len(toxicity.training_rows(docs, labels, 5)) == 10
+
+
+def test_rows_that_share_a_passage_are_no_copies():
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, base = words(60), words(150)
+    agree = lambda a, b: sum(x == y for x, y in zip(toxicity.min_marks(a), toxicity.min_marks(b)))
+    shared = [agree(words(60) + passage, words(60) + passage) for _ in range(50)]
+    copies = [agree(base, base[:-2] + words(2)) for _ in range(50)]
+    assert sum(n >= toxicity.COPY_MARKS for n in shared) <= 2 and all(n >= toxicity.COPY_MARKS for n in copies)
+
+
 def test_toxicity_awkward(spark):
     lexicon = toxicity.Lexicon({"a$": 3.0})
     got = toxicity.toxicity(documents(spark, AWKWARD), lexicon).collect()
@@ -243,33 +301,59 @@ def test_list_rules(spark):
     assert [(r.host, r.path, r.rule, r.verdict) for r in got.orderBy("page_id").collect()] == list(cases.values())
 
 
-def test_mined_rules_are_the_supported_and_confident_sets(spark):
-    rng = random.Random(3)
-    labelled = []
-    for _ in range(600):
-        a, b, q = rng.choice("abc"), rng.choice("xyz"), rng.choice(["", "?k=1", "#f"])
-        bad = (a == "a" and b == "x") or rng.random() < 0.15
-        labelled.append((f"http://{a}.{b}.net/p{rng.randrange(3)}{q}", bad))
-    labelled.append((None, True))
-    frame = spark.createDataFrame(labelled, "url string, bad boolean")
-    seen = urls.parse(frame).select(urls.tokens().alias("items"), "bad").cache()
-    mined = {(tuple(sorted(r["items"])), round(r.confidence, 9)) for r in urls.mine(seen, min_support=0.002, min_confidence=0.6).collect()}
+def brute_rules(baskets, min_count, lift):
+    """Minimal item sets of (items, bad) rows, of any size; of tokens in the same rows the least stands for all."""
     from itertools import combinations
 
+    baskets = [(set(i), b) for i, b in baskets if i]
+    places = collections.defaultdict(set)
+    for k, (items, _) in enumerate(baskets):
+        for t in items:
+            places[t].add(k)
+    heads = {min(t for t in places if places[t] == where) for where in places.values()}
     count, bad_count = collections.Counter(), collections.Counter()
-    for r in seen.collect():
-        for k in (1, 2, 3):
-            for c in combinations(sorted(r["items"]), k):
+    for items, bad in baskets:
+        items = sorted(items & heads)
+        for k in range(1, len(items) + 1):
+            for c in combinations(items, k):
                 count[c] += 1
-                bad_count[c] += r.bad
-    n_bad = sum(r.bad for r in seen.collect() if r["items"])
-    good = {c: bad_count[c] / count[c] for c in count if bad_count[c] >= max(urls.MIN_COUNT, 0.002 * n_bad) and bad_count[c] / count[c] >= 0.6}
-    want = {(c, round(v, 9)) for c, v in good.items() if not any(set(o) < set(c) for o in good)}
-    assert mined == want and want
+                bad_count[c] += bad
+    n, n_bad = len(baskets), sum(b for _, b in baskets)
+    least = max(min_count, -(-2 * n_bad // 1000))
+    good = {c: bad_count[c] / count[c] for c in count if bad_count[c] >= least and bad_count[c] * n >= lift * n_bad * count[c]}
+    return {(c, round(v, 9)) for c, v in good.items() if not any(set(o) < set(c) for o in good)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_mined_rules_are_the_supported_sets_that_lift(spark, seed):
+    rng = random.Random(seed)
+    labelled = []
+    for _ in range(400):
+        a, b, q = rng.choice("abc"), rng.choice("xyz"), rng.choice(["", "?k=1", "#f", "?k=1&m=2#f"])
+        bad = (a == "a" and b == "x") or rng.random() < 0.15
+        labelled.append((f"http://{a}.{b}.net/p{rng.randrange(3)}/q{rng.randrange(2)}{q}", bad, rng.random() < 0.1))
+    labelled += [("http://u.v.w.x.y.z/" + "/".join(f"part{'x' * i}" for i in range(25)), True, False)] * 6
+    labelled += [(None, True, None), ("no scheme", True, True), ("http://new.net/", None, None)]
+    frame = spark.createDataFrame(labelled, "url string, bad boolean, odd boolean")
+    seen = urls.parse(frame).select(urls.tokens().alias("items"), "bad", "odd").cache()
+    want = set()
+    for mark in ("bad", "odd"):
+        mined = {(tuple(sorted(r["items"])), round(r.confidence, 9)) for r in urls.mine(seen.select("items", F.col(mark).alias("bad"))).collect()}
+        brute = brute_rules([(r["items"], bool(r[mark])) for r in seen.collect()], urls.MIN_COUNT, urls.MIN_LIFT_HALVES / 2)
+        assert mined == brute and brute
+        want |= {c for c, _ in brute}
     pages = frame.select(F.monotonically_increasing_id().alias("page_id"), "url")
     verdicts = {r.page_id: r.verdict for r in urls.url_filter(pages, frame).collect()}
     for p, i in zip(pages.collect(), urls.parse(pages).select(urls.tokens().alias("i")).collect()):
-        assert verdicts[p.page_id] == ("block" if any(set(c) <= set(i.i) for c, _ in want) else "allow")
+        assert verdicts[p.page_id] == ("block" if any(set(c) <= set(i.i) for c in want) else "allow")
+    assert set(verdicts.values()) == {"block", "allow"}
+
+
+def test_rules_exist_and_fire_on_the_test_tables(spark):
+    for sf, least in (("sf0.01", 1), ("sf0.1", 20)):
+        pages, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("pages", "labels"))
+        assert urls.mined_rules(urls.labelled_urls(pages, labels)).count() >= least
+        assert urls.url_filter(pages, urls.labelled_urls(pages, labels)).filter("rule IS NULL AND verdict = 'block'").count() > 0
 
 
 # --- language --------------------------------------------------------------------------------------
@@ -309,6 +393,57 @@ def test_held_out_languages(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
 
 
+def naive_language(net, text):
+    """The pooled result of one document, a position at a time in double precision."""
+    symbols = [32 if c in b" \t\n\r\x0b\x0c" else 48 if 48 <= c <= 57 else c for c in text.encode()]
+    w, k = net.weights, language.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    total = np.zeros(len(net.languages))
+    for start in range(0, len(symbols), language.WINDOW):
+        window = symbols[start : start + language.WINDOW]
+        states = {}
+        for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            h, out = np.zeros(k), [None] * len(window)
+            for t in order:
+                x = w["E"][window[t]] @ w[f"W{d}"] + w[f"b{d}"]
+                gates = sig(x[: 2 * k] + h @ w[f"U{d}"])
+                z, r = gates[:k], gates[k:]
+                h = z * h + (1 - z) * np.tanh(x[2 * k :] + (r * h) @ w[f"R{d}"])
+                out[t] = h
+            states[d] = out
+        for a, b in zip(states["f"], states["b"]):
+            p = np.exp(np.concatenate([a, b]) @ w["V"] + w["c"])
+            total += p / p.sum()
+    total /= total.sum()
+    return net.languages[int(total.argmax())], total.max()
+
+
+def test_documents_against_a_naive_pass(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    net = language.train(language.training_rows(docs, 40), steps=60)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    checked = 0
+    for r in language.language_id(docs, net).collect():
+        text = texts[r.doc_id]
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif len(text) < 1500:
+            lang, score = naive_language(net, text)
+            assert abs(r.score - score) < 1e-4 and (r.lang_pred == lang or score < 0.51)
+            checked += 1
+    assert checked > 50
+
+
+def test_training_rows_are_bounded_and_whole(spark):
+    data = [(i % 50, f"text {i % 50} " + "long " * 2000, f"l{i % 5}") for i in range(400)] + [(1000 + i, "x", f"rare{i}") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    rows_ = language.training_rows(docs, 3)
+    per = collections.Counter(x for _, x in rows_)
+    free = {x for i, _, x in data if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(per) == free and max(per.values()) <= 3 and len({t for t, _ in rows_ if t != "x"}) == sum(n for x, n in per.items() if x.startswith("l"))
+    assert all(len(t) > 10_000 for t, x in rows_ if x.startswith("l"))
+
+
 def test_language_awkward(spark):
     got = language.language_id(documents(spark, AWKWARD), language.initial(["a", "b"])).orderBy("doc_id").collect()
     assert [r.lang_pred == "und" for r in got] == [not t or not any(map(str.isalpha, t)) for t in AWKWARD]
@@ -345,6 +480,122 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert json.loads(by[2, 1].message)["linked"] is False and by[None, 5].message == '{"content":"","role":""}'
 
 
+def brute_talks(data, registry):
+    """n_calls, n_linked, n_valid and the calls' (id, level, answered_at, status) of each message, by its place in ``data``."""
+    calls, answers, tools = {}, [], {}
+    for k, (conv, turn, role, text) in enumerate(data):
+        parts = re.findall(r"<tool_call>(.*?)</tool_call>", text or "", re.S) if role == "assistant" else []
+        found = []
+        for raw in parts:
+            try:
+                c = json.loads(raw)
+            except ValueError:
+                continue
+            if isinstance(c, dict) and isinstance(c.get("id"), str) and isinstance(c.get("name"), str):
+                found.append(c)
+        calls[k] = found
+        if role == "tool":
+            try:
+                answers.append((conv, turn, json.loads(text)["tool_call_id"]))
+            except (ValueError, KeyError, TypeError):
+                pass
+        if role == "system" and "<tools>" in text:
+            for tool in json.loads(re.search("<tools>(.*)</tools>", text, re.S)[1]):
+                key = (conv, tool["name"])
+                if key not in tools or turn < tools[key][0]:
+                    tools[key] = (turn, tool["parameters"])
+    first = {}
+    for k in sorted(calls, key=lambda k: (data[k][1], k)):
+        for place, c in enumerate(calls[k]):
+            first.setdefault((data[k][0], c["id"]), (k, place))
+    uses = {key: {v["$result"] for v in calls[k][p].get("arguments", {}).values() if isinstance(v, dict)} for key, (k, p) in first.items()}
+    level, moved = {}, True
+    while moved:
+        moved = False
+        for (conv, name), needs in uses.items():
+            if (conv, name) not in level and all((conv, n) in level for n in needs):
+                level[conv, name], moved = max((level[conv, n] + 1 for n in needs), default=0), True
+    out = {}
+    for k, (conv, turn, _, _) in enumerate(data):
+        rows_, linked = [], 0
+        for place, c in enumerate(calls[k]):
+            mine = first[conv, c["id"]] == (k, place)
+            at = min((t for cv, t, i in answers if (cv, i) == (conv, c["id"]) and t > turn), default=None) if mine else None
+            schema = tools.get((conv, c["name"]), (0, registry.get(c["name"])))[1]
+            bad = schema is None or any(n not in c["arguments"] for n in schema["required"])
+            rows_.append((c["id"], level.get((conv, c["id"])) if mine else None, at, not bad))
+            linked += at is not None
+        out[k] = (len(rows_), linked, sum(v for *_, v in rows_), sorted(rows_, key=str))
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [chat.GROUP_ROWS, 3])
+def test_generated_calls_against_brute_force(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(chat.levels, "__defaults__", (group_rows,))
+    rng, data = random.Random(group_rows), []
+    registry_ = {"f": {"required": ["x"]}, "g": {"required": []}}
+    for conv in [None, *range(12)]:
+        if rng.random() < 0.5:
+            data.append((conv, 0, "system", '<tools>[{"name": "f", "parameters": {"required": ["y"]}}, {"name": "h", "parameters": {"required": []}}]</tools>'))
+        names = [f"c{i}" for i in range(8)]
+        for turn in range(1, 9):
+            if rng.random() < 0.6:
+                made = [call(rng.choice(names), rng.choice("fghk"), {a: {"$result": rng.choice(names)} if rng.random() < 0.3 else 1 for a in rng.sample("xyz", 2)}) for _ in range(rng.randrange(3))]
+                data.append((conv, turn, "assistant", "go " + " ".join(made) + rng.choice(["", "<tool_call>{}</tool_call>"])))
+            else:
+                data.append((conv, turn, "tool", json.dumps({"tool_call_id": rng.choice(names), "content": [1]})))
+    got = chat.link_tools(spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string"), registry_)
+    by = {(r.conv_id, r.turn): r for r in got.collect()}
+    assert len(by) == len(data)
+    for k, (n, linked, valid, calls) in brute_talks(data, registry_).items():
+        r = by[data[k][:2]]
+        assert (r.n_calls, r.n_linked, r.n_valid) == (n, linked, valid), data[k]
+        made = json.loads(r.message).get("tool_calls", [])
+        assert sorted(((c["id"], c["level"], c["answered_at"], c["status"] == "valid") for c in made), key=str) == calls
+        order = [(c["level"] is None, c["level"] or 0, c["id"]) for c in made]
+        assert order == sorted(order)
+
+
+def test_odd_messages_do_not_stop_a_job(spark):
+    deep = '{"id":"a","name":"f","arguments":' + "[" * 5000 + "]" * 5000 + "}"
+    texts = [
+        ("assistant", f"<tool_call>{deep}</tool_call>"),
+        ("tool", deep),
+        ("tool", r'{"tool_call_id": "a", "content": "\ud800"}'),
+        ("assistant", r'<tool_call>{"id": "\ud800", "name": "f"}</tool_call>'),
+        ("assistant", r'<tool_call>{"id": "s", "name": "f", "arguments": {"x": "\udfff", "y": {"$result": "\ud800"}}}</tool_call>'),
+        ("assistant", '<tool_call>{"id": "t", "name": "bad", "arguments": "{\\"x\\": 1}"}</tool_call>'),
+        ("assistant", '<tool_call>{"id": "n", "name": "odd", "arguments": {}}</tool_call>'),
+        ("system", "<tools>[1, {}, null, {\"function\": {\"name\": \"odd\", \"parameters\": {\"type\": 5}}}]</tools>"),
+        ("system", "<tools>no json</tools>"),
+        ("user", "".join(map(chr, range(1, 0x90))) + "\u2028🙂\\"),
+        ("tool", None),
+        (None, "<tool_call>"),
+    ]
+    df = spark.createDataFrame([(None, i, r, t) for i, (r, t) in enumerate(texts)], "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: r for r in chat.link_tools(df, {"bad": {"properties": {"x": {"enum": [True], "pattern": "("}}}}).collect()}
+    assert len(got) == len(texts)
+    assert [got[i].n_calls for i in range(len(texts))] == [0, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0, 0]
+    assert json.loads(got[2].message)["content"] == "\ud800" and r"\ud800" in got[2].message
+    assert json.loads(got[4].message)["tool_calls"][0]["level"] is None
+    assert json.loads(got[5].message)["tool_calls"][0]["status"] == "$.x: value"
+    assert json.loads(got[6].message)["tool_calls"][0]["status"] == "bad schema"
+    assert got[9].message == chat.canonical({"role": "user", "content": texts[9][1]})
+    assert chat.faults("a" * 30 + "b", {"pattern": "^(a|aa)+$"}) == ["$: pattern"] and chat.faults("x", {"pattern": "("}) == ["$: pattern"]
+
+
+def test_deep_orders_are_followed(spark):
+    needs = [(f"{i}", f"{i - 1}" if i else None) for i in range(3000)]
+    assert chat.ordered(needs) == {f"{i}": i for i in range(3000)}
+    calls = spark.createDataFrame([("", f"{i:02}", [f"{i - 1:02}"] if i else []) for i in range(20)], "conv string, call_id string, uses array<string>")
+    assert rows(chat.levels(calls, 5), "call_id", "level") == rows(chat.levels(calls), "call_id", "level") == [(f"{i:02}", i) for i in range(20)]
+
+
+def test_plain_messages_are_native(spark):
+    plain = chat.link_tools(spark.read.parquet(f"{DATA}/conversations.parquet"), chat.TOOLS)
+    assert "Arrow" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
 def test_canonical_json():
     assert chat.canonical({"b": 1.0, "a": [1.5, float("nan"), "é"]}) == '{"a":[1.5,null,"é"],"b":1}'
     assert chat.faults(True, {"type": "integer"}) and not chat.faults(2.0, {"type": "integer"})
@@ -558,6 +809,76 @@ def test_random_strings_and_exclusions():
     assert secrets.redact("clean", []) == "clean"
 
 
+def brute_random(scanner, text):
+    """Random spans, one character at a time: stretches of key characters outside all base spans."""
+    base = brute_spans(text)
+    key = [bool(re.fullmatch("[A-Za-z0-9+/_=-]", c)) for c in text]
+    covered = [any(a <= i < b for a, _, b in base) for i in range(len(text))]
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and key[j] and not covered[j]:
+            j += 1
+        if j > i:
+            a, b = i, j
+            if b < len(text) and key[b] and covered[b]:
+                while b > a and text[b - 1] in "+/_=-":
+                    b -= 1
+            if a and key[a - 1] and covered[a - 1]:
+                while a < b and text[a] in "+/_=-":
+                    a += 1
+            run = text[a:b]
+            hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) and len(run) in (16, 32, 40, 56, 64, 96, 128)
+            uuid = re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run)
+            if len(run) >= 16 and not hexa and not uuid and re.search("[A-Za-z]", run):
+                name = re.fullmatch("[A-Za-z][A-Za-z+/_=-]*[0-9]{0,4}", run)
+                tokens = sum(len(scanner.encoding.encode_ordinary(run[k : k + 256])) for k in range(0, len(run), 256))
+                if len(run) < (1.85 if name else 2.2) * tokens:
+                    out.append((a, 3, b))
+        i = max(j, i + 1)
+    return sorted(base + out)
+
+
+def test_all_spans_against_brute_force():
+    rng, scanner = random.Random(4), secrets.Scanner(*secrets.load())
+    parts = ["password=", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, " ", "-", "/", "=", "some_name_of_a_thing", "word", "é", "\n", "12345678", "token: "]
+    found = 0
+    for _ in range(2000):
+        text = "".join(rng.choice([*parts, "".join(rng.choices("abcXYZ789qwk", k=rng.randrange(6, 40)))]) for _ in range(rng.randrange(9)))
+        got = scanner.spans(text)[1]
+        assert got == brute_random(scanner, text), text
+        found += sum(k == 3 for _, k, _ in got)
+    assert found > 300
+    assert scanner.spans("x1" * 50_000)[1] == brute_random(scanner, "x1" * 50_000)
+
+
+def test_planted_keys_are_found_and_words_are_not():
+    rng, scanner = random.Random(8), secrets.Scanner(*secrets.load())
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (letters, letters + digits, letters + digits + "-_", letters.lower()[:26] + digits):
+        for size in (16, 20, 24, 32, 40):
+            keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(400)]
+            caught = sum(any(k == 3 for _, k, _ in scanner.spans(f"the {key} of")[1]) for key in keys)
+            assert caught >= 0.9 * len(keys), (alphabet, size, caught)
+    prose = "internationalization Geschwindigkeitsbegrenzung anticonstitutionnellement desafortunadamente incomprehensibilities"
+    assert scanner.spans(prose)[1] == []
+
+
+def test_a_long_text_of_many_spans_is_scanned_in_one_pass():
+    import time
+
+    scanner = secrets.Scanner(*secrets.load())
+    text = ("0123456789abcdef" * 2 + " ") * 30_000
+    began = time.process_time()
+    assert len(scanner.spans(text)[1]) == 30_000 and time.process_time() - began < 5
+
+
+def test_texts_that_are_no_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62') AS string) AS text UNION ALL SELECT 2L, 'a'")
+    for out in (secrets.secret_scan(df, secrets.load()), bpe.bpe(df, bpe.load()), jaccard.near_duplicates(df), secrets.redacted(df, secrets.load())):
+        assert out.count() == 2
+
+
 def test_secret_scan_rows(spark):
     texts = AWKWARD + ["token: abcdefgh é password='12345678'", "0123456789abcdef" * 3]
     for r, t in zip(secrets.secret_scan(documents(spark, texts), secrets.load()).orderBy("doc_id").collect(), texts):

@@ -39,8 +39,10 @@ def release_memory() -> None:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """``make()`` runs once per task and returns the function that turns a batch into columns."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``make()`` runs once per task and returns the function that turns a batch into columns. A session
+    that keeps Spark's default number of rows in a batch gets a smaller one; any other number stays."""
+    if df.sparkSession.conf.get(_ROWS_KEY) == "10000":
+        df.sparkSession.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,9 +64,17 @@ def same_columns(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """A text column as strings; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [b if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column as strings; null is the empty text."""
-    return [t or "" for t in batch.column(name).to_pylist()]
+    return [t or "" for t in strings(batch.column(name))]
 
 
 def held_out():

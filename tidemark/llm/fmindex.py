@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import map_batches, same_columns, texts
+from tidemark.llm.batches import map_batches, same_columns, strings, texts
 
 WINDOW = 10
 #: Words of the items of one block of phrases.
@@ -279,7 +279,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def make():
         def work(batch):
-            found = batch.column("text").to_pylist()
+            found = strings(batch.column("text"))
             shard = [words_of(t or "") for t in found]
             begins, hit, _ = scan(shard, one_at_a_time(blocks))
             kept, keep = [], []

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import batch_rows, release_memory
+from tidemark.llm.batches import batch_rows, release_memory, texts
 from tidemark.llm.graph import components
 from tidemark.session import discard, input_bytes, pow2_at_least, stage
 
@@ -165,7 +165,7 @@ def _pack_columns(bits: int, cell_bits: int = CELL_BITS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = WordHashes(), ([], [], [], [], []), 0
         for batch in batches:
-            for key, doc, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for key, doc, text in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 found = ngrams(text, hashes)
                 for part, value in zip(held, (key, NO_DOC if doc is None else doc, len(found), signature(found), found), strict=True):
                     part.append(value)
@@ -379,7 +379,7 @@ def _matching_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Of rows (key, sig, text), those whose text has the class's set."""
     hashes = WordHashes()
     for batch in batches:
-        keep = [signature(ngrams(t, hashes)) == s for s, t in zip(batch.column("sig").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+        keep = [signature(ngrams(t, hashes)) == s for s, t in zip(batch.column("sig").to_pylist(), texts(batch), strict=True)]
         yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("key", "text")})
 
 
@@ -389,7 +389,7 @@ def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
                 a, b = word_ngrams(x), word_ngrams(y)
                 both = len(a & b)
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))

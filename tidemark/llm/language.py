@@ -7,8 +7,10 @@ trained on the driver in numpy by backpropagation through time, on a bounded sam
 whose language may be learned from.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; texts are read
-whole, every window of them; repeated rows are judged alike; ties go to the language that sorts
-first; without training rows every text is ``und``; an empty table gives an empty result. Only
+whole, every window of them, in training too; repeated rows are judged alike; of the texts of a
+repeated doc_id the least of each language is learned from; every language of the training fold can
+be predicted, ties go to the one that sorts first; without training rows every text is ``und``; bytes
+that are no UTF-8 count as U+FFFD; an empty table gives an empty result. Only
 ``doc_id``, ``text`` and, for training, ``lang`` are read.
 """
 
@@ -17,15 +19,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import held_out, map_batches, texts
+from tidemark.session import discard, stage
 
 #: Bytes of a window, hidden units of a direction and entries of a byte's vector.
 WINDOW, HIDDEN, WIDTH = 64, 12, 8
-#: Training documents of each language, at most (those of least hash), and characters read of one.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 2_000, 200
+#: Training documents of each language, at most (those of least hash), and of all; with more languages
+#: than the second number allows for, each has its share, one document at least.
+SAMPLE_ROWS, SAMPLE_TOTAL = 400, 40_000
 STEPS, BATCH, RATE, SEED = 500, 256, 0.02, 7
 #: Windows that are judged in one step.
 CHUNK = 2048
@@ -123,10 +127,11 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED) ->
     windows end early, as those of short texts do."""
     languages = sorted({lang for _, lang in rows})
     net, rng = initial(languages, seed), np.random.default_rng(seed)
-    pools = []
-    for lang in languages:
-        parts = [windowed(t.encode("utf-8", "replace")) for t, x in rows if x == lang and t]
-        pools.append(tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else None)
+    parts: dict[str, list] = {lang: [] for lang in languages}
+    for text, lang in rows:
+        if text:
+            parts[lang].append(windowed(text.encode("utf-8", "replace")))
+    pools = [tuple(np.concatenate(c) for c in zip(*p, strict=True)) if p else None for p in parts.values()]
     kinds = [i for i, p in enumerate(pools) if p is not None]
     if len(kinds) < 2:
         return net
@@ -163,8 +168,9 @@ class Reader:
         self.out = w["V"].T.astype(np.float32).copy()
         self.bias = w["c"].astype(np.float32)[:, None]
 
-    def states(self, d: int, windows: np.ndarray) -> np.ndarray:
-        """Hidden states (time, hidden, n) of one direction over windows (time, n)."""
+    def states(self, d: int, windows: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """Hidden states (time, hidden, n) of one direction over windows (time, n); the state stays zero
+        where ``real`` says that nothing has been read yet."""
         k, (time, n) = HIDDEN, windows.shape
         h, out = np.zeros((k, n), np.float32), np.empty((time, k, n), np.float32)
         table, u, r = self.tables[d], self.gates[d], self.news[d]
@@ -185,12 +191,15 @@ class Reader:
             h = np.subtract(h, new, out=out[t])
             h *= z
             h += new
+            if real is not None:
+                h *= real[t]
         return out
 
     def probabilities(self, windows: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Per window (n, time), the sum of the language probabilities of its real positions."""
         seen = np.ascontiguousarray(windows.T)
-        both = np.concatenate([self.states(0, seen), self.states(1, seen)], 1)
+        begun = None if real.all() else np.ascontiguousarray(real.T.astype(np.float32))
+        both = np.concatenate([self.states(0, seen), self.states(1, seen, begun)], 1)
         logits = self.out @ both
         logits += self.bias
         logits -= logits.max(1, keepdims=True)
@@ -211,6 +220,8 @@ class Reader:
         if not parts:
             return result
         windows, real, owner = np.concatenate(parts), np.concatenate(texts_), np.concatenate(owners)
+        order = np.argsort(~real[:, -1], kind="stable")  # the last, shorter windows of the texts together
+        windows, real, owner = windows[order], real[order], owner[order]
         sums = np.zeros((len(found), len(self.languages)))
         for a in range(0, len(windows), CHUNK):
             np.add.at(sums, owner[a : a + CHUNK], self.probabilities(windows[a : a + CHUNK], real[a : a + CHUNK]))
@@ -221,20 +232,18 @@ class Reader:
 
 
 def training_rows(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` (text, language) of each of the ``MAX_LANGUAGES`` most frequent
-    languages, outside the held-out fold; the characters read of each are bounded too."""
-    marked = documents.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    counts = marked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    """At most ``sample_rows`` (text, language) of each language outside the held-out fold, whole texts."""
+    marked = documents.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0").filter(~held_out())
+    counts = stage(marked.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")), "languages")
+    rows = max(1, min(sample_rows, SAMPLE_TOTAL // max(1, counts.count())))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    wanted = F.lit(False)
-    for lang, n in counts:  # about a quarter more than needed, of which the first are taken
-        wanted |= (F.col("lang") == lang) & (place < int(min(1.0, (1.25 * sample_rows + 20) / n) * (1 << 32)))
-    rows = marked.filter(wanted).select(place.alias("place"), "doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    taken: dict[str, list[str]] = {}
-    for _, _, lang, text in sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1], r[3] or "")):
-        if text and len(taken.setdefault(lang, [])) < sample_rows:
-            taken[lang].append(text)
-    return [(t, lang) for lang in sorted(taken) for t in taken[lang]]
+    # About half more than needed by the counts, one text of each doc_id; of these the first are taken before any leaves.
+    wanted = marked.join(counts, "lang").filter(place < F.least(F.lit(1.0), (1.5 * rows + 30) / F.col("n")) * (1 << 32))
+    single = wanted.groupBy("lang", place.alias("place"), "doc_id").agg(F.min("text").alias("text"))
+    ranked = single.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("k") <= rows)
+    taken = ranked.select("lang", "place", "doc_id", F.make_valid_utf8("text")).collect()
+    discard(counts)
+    return [(text, lang) for lang, _, _, text in sorted(map(tuple, taken))]
 
 
 def language_id(documents: DataFrame, net: Network) -> DataFrame:

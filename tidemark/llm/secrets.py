@@ -2,12 +2,15 @@
 
 A vocabulary of byte pairs learned from ordinary text spells words with few tokens and random
 strings with many. A run of key characters whose characters per token fall below a limit is a
-secret of kind ``random``, unless it is a digest of a known length, an identifier (UUID, number,
-date, name in one case with separators) or lies within a span of the fixed patterns.
-
-Defined results: null and empty texts have no spans; texts are scanned whole; repeated rows are
-scanned alike; spans of equal start are ordered by kind as listed; an empty table gives an empty
-result. Only ``doc_id`` and ``text`` are read.
+secret of kind ``random``, unless it is a digest of a known length, a UUID or a number. Runs of
+letters, with a short number at most, may be names and have a limit of their own, below the ratio
+of words in any language seen; a random string of letters falls below it too. Where a span of the
+fixed patterns covers part of a run, what is left on either side is tested alone.
+
+Defined results: null and empty texts have no spans; texts are scanned whole, and in one pass over
+runs and spans; the tokens of a long run are counted by stretches of ``STRETCH`` characters; repeated
+rows are scanned alike; spans of equal start are ordered by kind as listed; bytes that are no UTF-8
+count as U+FFFD; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -17,13 +20,16 @@ import re
 
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import map_batches, same_columns, texts
+from tidemark.llm.batches import map_batches, same_columns, strings, texts
 
 KINDS = ("assign", "access", "hex", "random")
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: A run of at least so many characters is tested, and is random below so many characters per token.
-MIN_RUN = 20
+#: A run of at least so many characters is tested, and is random below so many characters per token;
+#: the second limit is that of runs shaped like names.
+MIN_RUN = 16
 MIN_CHARS_PER_TOKEN = 2.2
+MIN_CHARS_PER_NAME_TOKEN = 1.85
+STRETCH = 256
 MIN_VALUE = 8
 
 # The base patterns.
@@ -39,9 +45,8 @@ RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 IDENTIFIER = re.compile(
     r"[0-9+/_=-]+"  # numbers, dates, rulers
     r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|[A-Za-z]+([-_/=+]+[A-Za-z]+)*[-_/=+]*"  # words, with no digit: names and paths
-    r"|[a-z]+([-_][a-z]+)*[-_]?[0-9]{1,4}"
 )
+NAME = re.compile(r"[A-Za-z]+([-_/=+]+[A-Za-z]+)*[-_/=+]*[0-9]{0,4}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
@@ -62,27 +67,62 @@ def known(run: str) -> bool:
     return bool(IDENTIFIER.fullmatch(run) or len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run))
 
 
+SEPARATORS = "+/_=-"
+
+
+def merged(spans) -> list[tuple[int, int]]:
+    """Disjoint ranges that sorted spans cover."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def left_over(start: int, end: int, covered: list[tuple[int, int]], first: int) -> list[tuple[int, int]]:
+    """What of a range lies outside the covered ones, of which ``first`` is the first that ends after its start."""
+    out = []
+    while first < len(covered) and covered[first][0] < end:
+        if start < covered[first][0]:
+            out.append((start, covered[first][0]))
+        start = max(start, covered[first][1])
+        first += 1
+    return [*out, (start, end)] if start < end else out
+
+
 class Scanner:
     """Scans texts with one vocabulary: a map from byte strings to ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, least: float = MIN_CHARS_PER_TOKEN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, least: float = MIN_CHARS_PER_TOKEN, least_name: float = MIN_CHARS_PER_NAME_TOKEN):
         import tiktoken
 
         self.encoding = tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.least = least
+        self.least, self.least_name = least, least_name
 
     def chars_per_token(self, run: str) -> float:
-        return len(run) / max(1, len(self.encoding.encode_ordinary(run)))
+        count = sum(len(self.encoding.encode_ordinary(run[i : i + STRETCH])) for i in range(0, len(run), STRETCH))
+        return len(run) / max(1, count)
+
+    def random(self, run: str) -> bool:
+        if len(run) < MIN_RUN or known(run):
+            return False
+        return self.chars_per_token(run) < (self.least_name if NAME.fullmatch(run) else self.least)
 
     def spans(self, text: str) -> tuple[list, list]:
         """Base spans, and all spans."""
         base = base_spans(text)
-        more = []
+        covered = merged(base)
+        more, first = [], 0
         for m in RUN.finditer(text):
-            if any(a < m.end() and m.start() < b for a, _, b in base) or known(m[0]):
-                continue
-            if self.chars_per_token(m[0]) < self.least:
-                more.append((m.start(), 3, m.end()))
+            while first < len(covered) and covered[first][1] <= m.start():
+                first += 1
+            for start, end in left_over(m.start(), m.end(), covered, first):
+                end = start + len(text[start:end].rstrip(SEPARATORS)) if end < m.end() else end
+                start = end - len(text[start:end].lstrip(SEPARATORS)) if start > m.start() else start
+                if self.random(text[start:end]):
+                    more.append((start, 3, end))
         return base, sorted(base + more)
 
 
@@ -151,7 +191,7 @@ def redacted(documents: DataFrame, vocabulary) -> DataFrame:
 
         def work(batch):
             columns = {n: batch.column(n) for n in names}
-            columns["text"] = [t and redact(t, scanner.spans(t)[1]) for t in batch.column("text").to_pylist()]
+            columns["text"] = [t and redact(t, scanner.spans(t)[1]) for t in strings(batch.column("text"))]
             return columns
 
         return work

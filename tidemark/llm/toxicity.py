@@ -7,9 +7,10 @@ differ between toxic and clean rows, each weighted by its log odds; word pairs i
 word is seen in clean rows only become exception phrases, whose matches don't count.
 
 Defined results: null and empty texts score 0; a text of any length is scanned whole; repeated
-rows are scored alike; equal labels of a repeated doc_id are taken once and the larger of unequal
-ones; without toxic training rows the lexicon is empty and every score 0; an empty table gives an
-empty result. Only ``doc_id`` and ``text`` are read from the documents.
+rows are scored alike; of the texts of a repeated doc_id the least is learned from, with the larger of
+its labels; without toxic training rows the lexicon is empty and every score 0; bytes that are no
+UTF-8 count as U+FFFD; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read
+from the documents; ``kept`` keeps all columns of its input. Texts are learned from whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,9 @@ from tidemark.llm.batches import held_out, map_batches, same_columns, texts
 
 #: Labelled rows of each class that the lexicon is learned from, at most; the rows of least hash are taken.
 SAMPLE_ROWS = 6000
-#: Bytes of text of one sampled row that are learned from, so that the sample has a bound in bytes too.
-SAMPLE_CHARS = 20_000
+#: Min-hash marks of a toxic training row, and how many of them make it a near copy of an earlier one:
+#: rows that merely share a passage agree in fewer.
+MARKS, COPY_MARKS = 16, 10
 THRESHOLD = 0.3
 
 # Characters that look like, or stand for, Latin letters.
@@ -66,21 +69,30 @@ class Lexicon:
     exceptions: set[tuple[str, str]] = field(default_factory=set)
 
 
+def min_marks(words: list[str]) -> list[int]:
+    """Min-hashes of a text's word triples: two texts agree in the share that their triples have in common."""
+    grams = np.array([zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint64)
+    rng = np.random.default_rng(11)
+    factors, shifts = rng.integers(1, 1 << 31, MARKS, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 31, MARKS, np.uint64)
+    return [int(((grams * f + s) & np.uint64(0xFFFFFFFF)).min()) for f, s in zip(factors, shifts, strict=True)]
+
+
 def learn(rows, min_odds: float = 20.0) -> Lexicon:
     """``rows``: (text, toxic). Terms are word starts of three letters or more, and whole words, that
     toxic rows have far oftener than chance among so many candidates gives; of those that occur in
     the same toxic rows the longest stands for all."""
     seen = (Counter(), Counter())
     total = [0, 0]
-    known: set[int] = set()
-    for text, toxic in rows:
+    known: dict[tuple[int, int], list[int]] = {}
+    for row, (text, toxic) in enumerate(rows):
         words = _WORD.findall(fold(text))
         if toxic and words:  # near copies of one toxic text would make lexicon words of all it says
-            marks = [zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))]
-            least = {min(m ^ salt for m in marks) ^ salt for salt in (0, 0x9E3779B9, 0x5BD1E995, 0xC2B2AE35)}
-            if known & least:
+            marks = list(enumerate(min_marks(words)))
+            agree = Counter(r for m in marks for r in known.get(m, ()))
+            if max(agree.values(), default=0) >= COPY_MARKS:
                 continue
-            known |= least
+            for m in marks:
+                known.setdefault(m, []).append(row)
         total[toxic] += 1
         seen[toxic].update(set(words))
     if not total[1]:
@@ -177,20 +189,17 @@ class Matcher:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """At most ``sample_rows`` labelled rows of each class outside the held-out fold."""
+    """At most ``sample_rows`` labelled rows of each class outside the held-out fold, with their whole texts."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     picked = None
     for toxic in (0, 1):
         part = marks.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         picked = part if picked is None else picked.unionByName(part)
-    # Two integers for each of at most 2 * sample_rows rows: small at any size of the corpus.
-    found = documents.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-    rows, seen = [], set()
-    for doc_id, text, toxic in found.collect():
-        if doc_id not in seen:
-            seen.add(doc_id)
-            rows.append((text or "", int(toxic)))
-    return rows
+    # Two integers for each of at most 2 * sample_rows rows: small at any size of the corpus. One text of
+    # each leaves the executors, however often a doc_id is repeated.
+    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = found.select("doc_id", F.make_valid_utf8("text"), "toxic").collect()
+    return [(text or "", int(toxic)) for _, text, toxic in sorted(rows, key=lambda r: r[0])]
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
