@@ -50,12 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage is cut, and a lost
-    executor costs only a re-read. The table goes when the driver's process ends."""
+    executor costs only a re-read. The table goes when the driver's process ends. At most ``tasks``
+    files are written, so that a small table doesn't become hundreds of them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held.staged_path = path
     if path.startswith(("file:", "/")):  # in other stores the folder's own rules clear it
@@ -77,6 +78,11 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(size))
 
 
+def tasks_for(size: int, each: int = 32 << 20) -> int:
+    """Tasks for a table that comes from ``size`` bytes of input, ``each`` bytes a task, 8 at least."""
+    return int(min(max(8, size // each), 1 << 24))
+
+
 def pow2_at_least(x: float, low: int, high: int) -> int:
     """The power of two next to ``x``, kept within ``low`` and ``high``."""
     return int(min(high, max(low, 2 ** math.ceil(math.log2(max(1.0, x))))))
