@@ -272,6 +272,28 @@ def test_cleaned_documents_hold_no_window(spark):
     assert after.columns == docs.columns
 
 
+def test_shards_and_blocks_of_any_size_agree(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "benchmark"))
+    words = [fmindex.words_of(t or "") for (t,) in docs.select("text").collect()]
+    one, many = fmindex.Benchmark(bench), fmindex.Benchmark(bench.unionAll(bench), 300)
+    assert len(one.sent) == 1 and len(many.sent) > 5
+    want = [(h.tolist(), i) for h, i in fmindex.scan_all(words, one)]
+    assert any(i for _, i in want)
+    for benchmark, size in ((one, 1), (one, 2000), (many, 2000)):
+        assert [(h.tolist(), i) for h, i in fmindex.scan_all(words, benchmark, size)] == want
+
+
+def test_index_keeps_samples_only():
+    rng = np.random.default_rng(3)
+    sequence = np.concatenate([np.r_[rng.integers(1, 5, 50), 0] for _ in range(20)])
+    index = fmindex.FMIndex(sequence, 4)
+    assert len(index.samples) <= len(sequence) // fmindex.SAMPLE_EVERY + 20
+    assert not any(isinstance(v, np.ndarray) and v.dtype.kind == "i" and len(v) == len(sequence) and v is not index.sample_rank for v in vars(index).values())
+    symbols, rank = index.wavelet.access(np.arange(len(sequence)))
+    assert (rank == index.wavelet.rank(symbols, np.arange(len(sequence)))).all() and sorted(symbols) == sorted(sequence)
+    assert sorted(index.locate(np.arange(len(sequence)))) == list(range(len(sequence)))
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(0)
     s = rng.integers(0, 11, 300)

@@ -1,38 +1,49 @@
 """Benchmark decontamination: an FM-index of each training shard, searched backwards.
 
-A shard is one batch of documents as a sequence of word numbers. Only words of the searched phrases
-have a number, so the sequence falls into runs; runs shorter than the shortest phrase can hold no
-occurrence and are left out of the index. The index is the Burrows-Wheeler transform of the rest,
-in a wavelet matrix for ranks, with every eighth suffix position of a run kept as a sample. All
-phrases are searched at once, one word from their ends at a time; rows of a phrase's range are
-walked back to a sample for their positions, and hit words merge into removal spans.
-
-The phrases come in blocks of bounded size, sent as one broadcast each and held one at a time by a
-task, so neither the driver nor a task ever holds the whole benchmark; documents are never shuffled.
+A shard is a batch of documents, up to ``SHARD_WORDS`` words or one document, as a sequence of word
+numbers. Only words of the benchmark have a number, so the sequence falls into runs; runs shorter
+than the shortest phrase can hold no occurrence and are left out of the index, which is the
+Burrows-Wheeler transform of the rest in a wavelet matrix, for ranks and symbols, with every eighth
+suffix position of a run kept as a sample. Each shard has one index, in which the phrases of all
+blocks are searched, one word from their ends at a time; rows of a phrase's range are walked back to
+a sample for their positions, and hit words merge into removal spans.
+
+The benchmark is split into words, and its phrases are numbered and packed into blocks of bounded
+size, by tasks; the driver passes one block at a time on as a broadcast, of which a task holds one at a
+time, beside the vocabulary (the distinct words of the benchmark). Documents are never shuffled.
 
 Defined results: null and empty texts, and texts without words, have no words and no hits; texts are
 read whole; repeated rows are judged alike; items without words have no window, items of less than
 ten words are one; repeated items count once, items of null id hit but aren't counted; an empty
-benchmark leaves every document clean; an empty table gives an empty result. Of the documents only
-``doc_id`` and ``text`` are read, of the benchmark ``item_id`` and ``text``.
+benchmark leaves every document clean; bytes that are no UTF-8 count as U+FFFD; an empty table gives an
+empty result. Of the documents only ``doc_id`` and ``text`` are read, of the benchmark ``item_id`` and
+``text``; ``cleaned`` keeps all columns of the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.batches import map_batches, same_columns, strings, texts
+from tidemark.session import discard, stage
 
 WINDOW = 10
 #: Words of the items of one block of phrases.
 BLOCK_WORDS = 500_000
 SAMPLE_EVERY = 8
+#: Words of the documents of one index, beyond which another begins.
+SHARD_WORDS = 1_000_000
 
 # Lower case for A-Z, a space for every ASCII character that is no letter or digit.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -43,11 +54,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+@dataclass
+class Vocabulary:
+    """Numbers from 1 of the words of a benchmark, and the least length of its phrases."""
+
+    numbers: dict[bytes, int]
+    shortest: int
+
+
 class Phrases:
-    """Windows of a block of items: word numbers, distinct windows by length, and items of each window."""
+    """Windows of a block of items: distinct windows by length, and items of each window. Words are
+    numbered by ``numbers``, or else as they come."""
 
-    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW, numbers: dict[bytes, int] | None = None):
+        self.numbers: dict[bytes, int] = {} if numbers is None else numbers
         known: dict[tuple[int, ...], int] = {}
         owners: list[set[str]] = []
         for item, text in items:
@@ -69,6 +89,13 @@ class Phrases:
             self.by_length[width] = np.array([k for k, _ in same]), np.array([w for _, w in same], np.int64).reshape(len(same), width)
         self.shortest = min(self.by_length, default=1)
 
+    def renumbered(self, numbers: dict[bytes, int]) -> "Phrases":
+        """The same phrases in the numbers of another vocabulary, which has all of their words."""
+        new = np.array([0, *(numbers[w] for w in self.numbers)], np.int64)
+        out = object.__new__(Phrases)
+        out.__dict__ |= self.__dict__ | {"numbers": numbers, "by_length": {n: (ids, new[table]) for n, (ids, table) in self.by_length.items()}}
+        return out
+
 
 class WaveletMatrix:
     """Ranks of symbols in a sequence, one level for each bit."""
@@ -93,6 +120,16 @@ class WaveletMatrix:
         """How often each symbol occurs before each place."""
         return self._walk(symbols, at) - self.starts[symbols]
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it occurs before."""
+        symbols = np.zeros(len(at), np.int64)
+        for ones, zeros in zip(self.levels, self.zeros, strict=True):
+            before = ones[at]
+            bit = ones[at + 1] - before
+            at = np.where(bit, zeros + before, at - before)
+            symbols = symbols * 2 + bit
+        return symbols, at - self.starts[symbols]
+
 
 class FMIndex:
     """Index of a sequence of positive symbols in runs, each closed by a 0; runs are kept apart."""
@@ -115,15 +152,14 @@ class FMIndex:
             if fresh[-1] == n - 1 or step > n:
                 break
         self.size = n
-        before = np.where(order > 0, sequence[order - 1], 0)
-        self.before = before
-        self.wavelet = WaveletMatrix(before, sigma)
+        self.wavelet = WaveletMatrix(np.where(order > 0, sequence[order - 1], 0), sigma)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=sigma + 1))])
         first = np.concatenate([[True], closing[:-1]])
         starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         sampled = (np.arange(n) - starts) % every == 0  # the first of a run is one: no walk leaves its run
         self.sampled = sampled[order]
-        self.position = order
+        self.sample_rank = np.cumsum(self.sampled, dtype=np.int32) - 1
+        self.samples = order[self.sampled].astype(np.int32 if n < 1 << 31 else np.int64)  # of the suffix positions only these stay
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of phrases of equal length, by backward search; empty where one doesn't occur."""
@@ -144,62 +180,95 @@ class FMIndex:
         while len(live):
             at = self.sampled[rows[live]]
             done = live[at]
-            found[done] = self.position[rows[done]] + walked[done]
+            found[done] = self.samples[self.sample_rank[rows[done]]] + walked[done]
             live = live[~at]
-            c = self.before[rows[live]]
-            rows[live] = self.less[c] + self.wavelet.rank(c, rows[live])
+            c, rank = self.wavelet.access(rows[live])
+            rows[live] = self.less[c] + rank
             walked[live] += 1
         return found
 
 
-def occurrences(numbers: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, window, length) of every occurrence in a sequence of word numbers, where 0 is no word of the phrases."""
-    none = np.empty(0, np.int64)
-    known = np.concatenate([[0], (numbers > 0).astype(np.int8), [0]])
-    edge = np.diff(known)
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    keep = ends - begins >= phrases.shortest
-    begins, ends = begins[keep], ends[keep]
-    if not len(begins):
-        return none, none, none
-    sizes = ends - begins + 1  # with the closing 0
-    offsets = np.cumsum(sizes) - sizes
-    places = np.arange(int(sizes.sum())) - np.repeat(offsets - begins, sizes)
-    sequence = np.where(np.isin(np.arange(len(places)), offsets + sizes - 1), 0, numbers[np.minimum(places, len(numbers) - 1)])
-    index = FMIndex(sequence.astype(np.int64), len(phrases.numbers))
-    out = []
-    for length, (ids, table) in phrases.by_length.items():
-        lo, hi = index.search(table)
-        counts = hi - lo
-        which = np.repeat(np.arange(len(ids)), counts)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + lo[which]
-        out.append((places[index.locate(rows)], ids[which], np.full(len(rows), length)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (none, none, none)
-
-
-def scan(shard: list[list[bytes]], blocks) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Documents as lists of words → ends of the documents in the shard, hit flags of its words, items of each document.
-
-    ``blocks`` yields ``Phrases``, of which one is held at a time."""
+class ShardIndex:
+    """Index of a sequence of word numbers, where 0 is no word of the benchmark."""
+
+    def __init__(self, numbers: np.ndarray, shortest: int):
+        known = np.concatenate([[0], (numbers > 0).astype(np.int8), [0]])
+        edge = np.diff(known)
+        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        keep = ends - begins >= shortest
+        begins, ends = begins[keep], ends[keep]
+        self.empty = not len(begins)
+        if self.empty:
+            return
+        sizes = ends - begins + 1  # with the closing 0
+        offsets = np.cumsum(sizes) - sizes
+        self.places = np.arange(int(sizes.sum())) - np.repeat(offsets - begins, sizes)
+        closing = np.zeros(len(self.places), bool)
+        closing[offsets + sizes - 1] = True
+        sequence = np.where(closing, 0, numbers[np.minimum(self.places, len(numbers) - 1)])
+        self.words, own = np.unique(sequence, return_inverse=True)  # the first is 0
+        self.index = FMIndex(own.astype(np.int64), len(self.words) - 1)
+
+    def occurrences(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(places, windows, length) of every occurrence, by length."""
+        for length, (ids, table) in () if self.empty else phrases.by_length.items():
+            own = np.minimum(np.searchsorted(self.words, table), len(self.words) - 1)
+            here = (self.words[own] == table).all(1)  # a window with a word that the shard lacks occurs nowhere
+            ids, own = ids[here], own[here]
+            lo, hi = self.index.search(own)
+            counts = hi - lo
+            which = np.repeat(np.arange(len(ids)), counts)
+            rows = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + lo[which]
+            yield self.places[self.index.locate(rows)], ids[which], length
+
+
+def scan(shard: list[list[bytes]], blocks, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+    """Documents as lists of words → begins of the documents in the shard, hit flags of its words, items of each document.
+
+    ``blocks`` yields ``Phrases`` in the numbers of ``vocabulary``, of which one is held at a time; without
+    a vocabulary the blocks have numbers of their own, and one is made of them."""
+    if vocabulary is None:
+        blocks, numbers = list(blocks), {}
+        for phrases in blocks:
+            for w in phrases.numbers:
+                numbers.setdefault(w, len(numbers) + 1)
+        vocabulary = Vocabulary(numbers, min((p.shortest for p in blocks), default=1))
+        blocks = [p.renumbered(numbers) for p in blocks]
     lengths = np.array([len(w) for w in shard], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]  # one place between documents
     total = int((lengths + 1).sum())
+    get, numbers = vocabulary.numbers.get, np.zeros(total, np.int64)
+    for words, at in zip(shard, begins, strict=True):
+        if words:
+            numbers[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+    index = ShardIndex(numbers, vocabulary.shortest)
     cover = np.zeros(total + 1, np.int64)
     items: list[set[str]] = [set() for _ in shard]
-    for phrases in blocks:
-        get, numbers = phrases.numbers.get, np.zeros(total, np.int64)
-        for words, at in zip(shard, begins, strict=True):
-            if words:
-                numbers[at : at + len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-        place, window, length = occurrences(numbers, phrases)
-        np.add.at(cover, place, 1)
-        np.add.at(cover, place + length, -1)
-        doc = np.searchsorted(begins, place, side="right") - 1
-        for d, w in np.unique(np.stack([doc, window], 1), axis=0) if len(place) else ():
-            items[d].update(phrases.items[i] for i in phrases.owners[phrases.owner_ends[w] : phrases.owner_ends[w + 1]])
+    for phrases in () if index.empty else blocks:
+        for place, window, length in index.occurrences(phrases):
+            np.add.at(cover, place, 1)
+            np.add.at(cover, place + length, -1)
+            doc = np.searchsorted(begins, place, side="right") - 1
+            for d, w in np.unique(np.stack([doc, window], 1), axis=0) if len(place) else ():
+                items[d].update(phrases.items[i] for i in phrases.owners[phrases.owner_ends[w] : phrases.owner_ends[w + 1]])
     return begins, np.cumsum(cover)[:total] > 0, [sorted(s) for s in items]
 
 
+def scan_all(documents: list[list[bytes]], benchmark: "Benchmark", shard_words: int = SHARD_WORDS) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Hit flags of the words and the items of each document, one index for every ``shard_words`` words."""
+    at = 0
+    while at < len(documents):
+        end, n = at, 0
+        while end < len(documents) and (end == at or n + len(documents[end]) <= shard_words):
+            n += len(documents[end])
+            end += 1
+        shard = documents[at:end]
+        begins, hit, items = scan(shard, benchmark.blocks(), benchmark.vocabulary.value)
+        for a, words, found in zip(begins, shard, items, strict=True):
+            yield hit[a : a + len(words)], found
+        at = end
+
+
 def removal_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Code point ranges from the first to the last word of each run of hit words."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -220,27 +289,61 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def phrase_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcasts of the items, each of at most ``block_words`` words or one item; rows are fetched
-    a partition at a time, and the driver holds one block."""
-    context, blocks, held, n = benchmark.sparkSession.sparkContext, [], [], 0
-    for item, text in benchmark.filter("text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        held.append((item, text))
-        n += len(words_of(text))
-        if n >= block_words:
-            blocks.append(context.broadcast(Phrases(held)))
-            held, n = [], 0
-    if held:
-        blocks.append(context.broadcast(Phrases(held)))
-    return blocks
-
-
-def one_at_a_time(blocks):
-    """Values of broadcasts; where there are several, a task lets go of one before the next."""
-    for b in blocks:
-        yield b.value
-        if len(blocks) > 1:
-            b.__dict__.pop("_value", None)
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lines = [b" ".join(words_of(t)).decode("utf-8", "replace") for t in texts(b)]
+        yield pa.RecordBatch.from_pydict({"item": b.column("item"), "line": lines, "n": [x.count(" ") + 1 if x else 0 for x in lines]})
+
+
+def _packed(sent):
+    """Items sorted by block → pickled phrases of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        closed = lambda: pa.RecordBatch.from_pydict({"phrases": [pickle.dumps(vars(Phrases(held, numbers=sent.value.numbers)) | {"numbers": {}})]})
+        for b in batches:
+            for k, item, line in zip(*(b.column(c).to_pylist() for c in ("block", "item", "line")), strict=True):
+                if held and k != block:
+                    yield closed()
+                    held.clear()
+                block = k
+                held.append((item, line))
+        if held:
+            yield closed()
+
+    return run
+
+
+class Benchmark:
+    """Broadcasts of the vocabulary of a benchmark and of its phrases, in blocks of about ``block_words``
+    words (or one item). Executors keep broadcasts on disk where memory is short."""
+
+    def __init__(self, benchmark: DataFrame, block_words: int = BLOCK_WORDS):
+        context = benchmark.sparkSession.sparkContext
+        items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+        lines = stage(items.mapInArrow(_worded, "item string, line string, n bigint").filter("n > 0").distinct(), "benchmark-words")
+        total, least = lines.agg(F.sum("n"), F.min("n")).first()
+        words = lines.select(F.explode(F.split("line", " ")).alias("word")).distinct().toLocalIterator()
+        numbers = {w: i for i, w in enumerate(sorted(r.word.encode() for r in words), 1)}
+        self.vocabulary = context.broadcast(Vocabulary(numbers, min(WINDOW, least or 1)))
+        self.sent = []
+        if total:
+            block = F.pmod(F.xxhash64("line"), F.lit(math.ceil(total / block_words))).alias("block")
+            dealt = lines.select(block, "item", "line").repartition("block").sortWithinPartitions("block")
+            packed = stage(dealt.mapInArrow(_packed(self.vocabulary), "phrases binary"), "benchmark-phrases")
+            for row in packed.toLocalIterator():
+                phrases = object.__new__(Phrases)
+                phrases.__dict__ |= pickle.loads(bytes(row.phrases))
+                self.sent.append(context.broadcast(phrases))
+            discard(packed)
+        discard(lines)
+
+    def blocks(self) -> Iterator[Phrases]:
+        """The blocks, of which, if there are several, a task lets go of one before the next."""
+        for b in self.sent:
+            yield b.value
+            if len(self.sent) > 1:
+                b.__dict__.pop("_value", None)
 
 
 _RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string"
@@ -248,14 +351,13 @@ _RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, co
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` (doc_id, text) against ``benchmark`` (item_id, text) → counts, items and removal spans."""
-    blocks = phrase_blocks(benchmark)
+    phrases = Benchmark(benchmark)
 
     def make():
         def work(batch):
             found = texts(batch)
             shard = [words_of(t) for t in found]
-            begins, hit, items = scan(shard, one_at_a_time(blocks))
-            hits = [hit[a : a + len(w)] for a, w in zip(begins, shard, strict=True)]
+            hits, items = zip(*scan_all(shard, phrases), strict=True)
             n_hit = [int(h.sum()) for h in hits]
             return {
                 "doc_id": batch.column("doc_id"),
@@ -275,16 +377,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def cleaned(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` with the removal spans cut out of their texts; a document of which no word is
     left goes. Clean documents stay as they are."""
-    blocks, names = phrase_blocks(benchmark), documents.columns
+    phrases, names = Benchmark(benchmark), documents.columns
 
     def make():
         def work(batch):
             found = strings(batch.column("text"))
             shard = [words_of(t or "") for t in found]
-            begins, hit, _ = scan(shard, one_at_a_time(blocks))
             kept, keep = [], []
-            for t, a, w in zip(found, begins, shard, strict=True):
-                h = hit[a : a + len(w)]
+            for t, w, (h, _) in zip(found, shard, scan_all(shard, phrases), strict=True):
                 keep.append(not len(w) or not h.all())
                 kept.append(cut(t, removal_spans(t, h)) if h.any() else t)
             mask = pa.array(keep, pa.bool_())

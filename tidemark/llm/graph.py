@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from tidemark.session import discard, stage
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b) → (node, label): the least node that is reachable, for every node of an edge."""
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``edges`` (a, b) → (node, label): the least node that is reachable, for every node of an edge.
+    ``tasks`` bounds the files of a stored round."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
-    both = stage(both.unionAll(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).filter("node <> other").distinct(), "edges")
-    labels = stage(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    both = stage(both.unionAll(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).filter("node <> other").distinct(), "edges", tasks)
+    labels = stage(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("label")), "labels", tasks)
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("other"), "label"), "other")
@@ -30,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.select("node", "label").join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         fresh = stage(
-            step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels"
+            step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), "labels", tasks
         )
         discard(labels)
         if fresh.filter("label <> was").isEmpty():

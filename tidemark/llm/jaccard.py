@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.batches import batch_rows, release_memory, texts
 from tidemark.llm.graph import components
-from tidemark.session import discard, input_bytes, pow2_at_least, stage
+from tidemark.session import discard, input_bytes, pow2_at_least, stage, tasks_for
 
 WORDS = 5
 PERCENT = 80
@@ -398,30 +398,30 @@ def _compared(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """The ``pairs`` (a, b) of ``classes`` (key, doc_id, sig) that reach the bound word by word. A class's
     text is that of a document with its doc_id and its set."""
     keys = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    wanted = stage(classes.select("key", "doc_id", "sig").join(keys, "key"), "unsure")
+    wanted = stage(classes.select("key", "doc_id", "sig").join(keys, "key"), "unsure", tasks)
     found = documents.select(F.col("doc_id").alias("of"), "text").join(wanted, F.col("of").eqNullSafe(F.col("doc_id")))
     found = found.select("key", "sig", "text").mapInArrow(_matching_texts, "key bigint, text string")
-    found = stage(found.groupBy("key").agg(F.min("text").alias("text")), "unsure-texts")
+    found = stage(found.groupBy("key").agg(F.min("text").alias("text")), "unsure-texts", tasks)
     side = lambda x: found.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
-    good = stage(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInArrow(_compared(percent), "a bigint, b bigint"), "verified")
+    good = stage(pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").mapInArrow(_compared(percent), "a bigint, b bigint"), "verified", tasks)
     discard(wanted, found)
     return good
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, bits: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, documents: DataFrame, percent: int, bits: int, tasks: int) -> DataFrame:
     """The pairs (a, b) of class keys that reach the bound."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
     with batch_rows(pairs.sparkSession, 200):
         tested = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_tested(percent, bits), "a bigint, b bigint, close boolean")
-        links = stage(tested, "links")
+        links = stage(tested, "links", tasks)
         unsure = links.filter("close")
         if unsure.isEmpty():
             return links.select("a", "b")
-        return links.filter("NOT close").select("a", "b").unionAll(verified(unsure, classes, documents, percent))
+        return links.filter("NOT close").select("a", "b").unionAll(verified(unsure, classes, documents, percent, tasks))
 
 
 def _in_reach(percent: int):
@@ -432,14 +432,14 @@ def _in_reach(percent: int):
     )
 
 
-def near_links(classes: DataFrame, documents: DataFrame, percent: int, bits: int) -> DataFrame:
+def near_links(classes: DataFrame, documents: DataFrame, percent: int, bits: int, tasks: int) -> DataFrame:
     """Classes (key, doc_id, sig, n_shingles, typical, cells, often, n_copies) of ``documents`` → (node, label)
     of those linked with another."""
     spark = classes.sparkSession
     every = classes.mapInArrow(_postings(percent), "cell bigint, key bigint, n bigint, pos bigint, typical double")
     # Counts are stored before they are joined, here and below: a join of two plain tables is one whose hot keys AQE splits.
-    often = stage(every.groupBy("cell").agg(F.count("*").alias("k")).filter("k > 1").select("cell"), "shared")
-    postings = stage(every.join(often, "cell"), "postings")  # a cell of one class meets nothing
+    often = stage(every.groupBy("cell").agg(F.count("*").alias("k")).filter("k > 1").select("cell"), "shared", tasks)
+    postings = stage(every.join(often, "cell"), "postings", tasks)  # a cell of one class meets nothing
     discard(often)
     found, marked, past = None, postings.withColumn("label", F.col("key")), [postings]
     for turn in range(STAR_ROUNDS + 1):
@@ -447,6 +447,7 @@ def near_links(classes: DataFrame, documents: DataFrame, percent: int, bits: int
         open_cells = stage(
             by_label.groupBy("cell").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("k")).filter("pairs > 0"),
             "open",
+            tasks,
         )
         past.append(open_cells)
         pairs, rows = open_cells.agg(F.sum("pairs"), F.sum("k")).first()
@@ -456,24 +457,24 @@ def near_links(classes: DataFrame, documents: DataFrame, percent: int, bits: int
         side = lambda x, df: df.select(*(c for c in ("cell", "salt") if c in df.columns), *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "pos", "label")))
         if last:
             salts = open_cells.select("cell", F.expr(f"int(ceil(k / {SALT_ROWS}))").alias("salts"))
-            left = stage(marked.join(salts, "cell"), "open-postings")
+            left = stage(marked.join(salts, "cell"), "open-postings", tasks)
             past.append(left)
             one, all_ = left.withColumn("salt", F.expr("int(pmod(xxhash64(key), salts))")), left.withColumn("salt", F.expr("explode(sequence(0, salts - 1))"))
             meeting = side("a", one).join(side("b", all_), ["cell", "salt"]).filter("label_a < label_b")
         else:
             best = F.max(F.struct(F.col("typical") if turn == 0 else F.xxhash64("key", F.lit(turn)), "key", "n", "pos", "label")).alias("m")
             hubs = marked.groupBy("cell").agg(best).join(open_cells.select("cell"), "cell", "left_semi")
-            hubs = stage(hubs.select("cell", *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "label"))), "hubs")
+            hubs = stage(hubs.select("cell", *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("key", "n", "pos", "label"))), "hubs", tasks)
             past.append(hubs)
             meeting = side("b", marked).join(hubs, "cell").filter("label_a <> label_b")
         tried = meeting.filter(_in_reach(percent)).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-        links = _linked(tried, classes, documents, percent, bits)
+        links = _linked(tried, classes, documents, percent, bits, tasks)
         edges = links if found is None else links.unionAll(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        found = components(edges)
+        found = components(edges, tasks)
         if last:
             break
         marked = stage(
-            postings.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "marked"
+            postings.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")), "marked", tasks
         )
         past.append(marked)
     discard(*past)
@@ -493,21 +494,21 @@ def _named(keyed: DataFrame, size: int, percent: int, cell_bits: int = CELL_BITS
     links, and those of classes with their component_id and its first key."""
     spark = keyed.sparkSession
     blocks, buckets = pow2_at_least(size / BLOCK_BYTES, 4096, MOST_BLOCKS), pow2_at_least(size / BUCKET_BYTES, 1024, MOST_BLOCKS)
-    bits = blocks.bit_length() - 1
+    bits, tasks = blocks.bit_length() - 1, tasks_for(size)
     with batch_rows(spark, 500):
         columns = keyed.select("key", "doc_id", "text").mapInArrow(_pack_columns(bits, cell_bits), _BLOCK)
         cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
-        rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence")
+        rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence", tasks_for(size, 8 << 20))
         live = rows.filter("cells IS NOT NULL")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-        classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), first, F.count("*").alias("n_copies")), "classes")
+        classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), first, F.count("*").alias("n_copies")), "classes", tasks)
         about = classes.select("key", "n_copies", F.col("first.doc_id").alias("doc_id"))
-        heads = stage(live.select("key", "sig", "n_shingles", "typical", "cells", "often").join(about, "key"), "heads")
-        linked = near_links(heads, keyed, percent, bits + cell_bits)
+        heads = stage(live.select("key", "sig", "n_shingles", "typical", "cells", "often").join(about, "key"), "heads", tasks_for(size, 8 << 20))
+        linked = near_links(heads, keyed, percent, bits + cell_bits, tasks)
     named = classes.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = stage(named.select("sig", "first", "label"), "named")
+    named = stage(named.select("sig", "first", "label"), "named", tasks)
     discard(heads, classes)
-    firsts = stage(named.groupBy("label").agg(F.min("first").alias("least")), "firsts")
+    firsts = stage(named.groupBy("label").agg(F.min("first").alias("least")), "firsts", tasks)
     named = named.join(firsts, "label").select("sig", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first_key"))
     alone = rows.filter("cells IS NULL").select("key", "doc_id", "n_shingles")
     return alone, live.select("key", "doc_id", "n_shingles", "sig").join(named, "sig").drop("sig")
@@ -527,9 +528,9 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     row, taken = "__row", {n.lower() for n in documents.columns}
     while row in taken:
         row += "_"
-    held = stage(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    _, grouped = _named(held.select(F.col(row).alias("key"), "doc_id", "text"), text_bytes(documents), percent)
-    gone = stage(grouped.filter("key <> first_key").select(F.col("key").alias(row)), "repeats")
+    held, size = stage(documents.withColumn(row, F.monotonically_increasing_id()), "numbered"), text_bytes(documents)
+    _, grouped = _named(held.select(F.col(row).alias("key"), "doc_id", "text"), size, percent)
+    gone = stage(grouped.filter("key <> first_key").select(F.col("key").alias(row)), "repeats", tasks_for(size))
     if gone.count() <= BROADCAST_ROWS:  # 8 MB of row numbers; beyond, both sides are shuffled
         gone = F.broadcast(gone)
     return held.join(gone, row, "left_anti").drop(row)

@@ -22,7 +22,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import discard, stage
+from tidemark.session import discard, input_bytes, stage, tasks_for
 
 #: (verdict, host, path)
 LIST_RULES = [
@@ -74,45 +74,46 @@ def tokens():
 _RULES = "items array<string>, n_items int, confidence double, n_bad bigint"
 
 
-def _folded(baskets: DataFrame) -> DataFrame:
+def _folded(baskets: DataFrame, tasks: int | None) -> DataFrame:
     """``baskets`` (basket, items, bad) with only those tokens that stand for others."""
     single = baskets.select("basket", "bad", F.explode("items").alias("token"))
     where = single.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("basket")).alias("x"), F.bit_xor(F.xxhash64("basket", F.lit(1))).alias("y"))
-    heads = stage(where.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "url-tokens")
+    heads = stage(where.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "url-tokens", tasks)
     return single.join(heads, "token").groupBy("basket", "bad").agg(F.collect_list("token").alias("items"))
 
 
-def mine(labelled: DataFrame, support_mille: int = MIN_SUPPORT_MILLE, min_count: int = MIN_COUNT, lift_halves: int = MIN_LIFT_HALVES) -> DataFrame:
-    """``labelled`` (items array<string>, bad boolean) → rules (items, n_items, confidence, n_bad)."""
+def mine(labelled: DataFrame, support_mille: int = MIN_SUPPORT_MILLE, min_count: int = MIN_COUNT, lift_halves: int = MIN_LIFT_HALVES, tasks: int | None = None) -> DataFrame:
+    """``labelled`` (items array<string>, bad boolean) → rules (items, n_items, confidence, n_bad); tables
+    on the way are stored in at most ``tasks`` files."""
     spark = labelled.sparkSession
     rows = labelled.filter("size(items) > 0").select(F.monotonically_increasing_id().alias("basket"), "items", F.coalesce("bad", F.lit(False)).alias("bad"))
-    baskets = stage(rows, "url-baskets")
+    baskets = stage(rows, "url-baskets", tasks)
     total, n_bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
     if not n_bad:
         discard(baskets)
         return spark.createDataFrame([], _RULES)
-    held = stage(_folded(baskets), "url-folded")
+    held = stage(_folded(baskets, tasks), "url-folded", tasks)
     at_least = max(min_count, -(-support_mille * n_bad // 1000))
     # FP-growth gets the bad baskets only: an itemset's count there is that of set and label together.
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (at_least - 0.5) / n_bad), minConfidence=1.0).fit(held.filter("bad").select("items"))
-    together = stage(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad")).filter(F.col("n_bad") >= at_least), "url-itemsets")
+    together = stage(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n_bad")).filter(F.col("n_bad") >= at_least), "url-itemsets", tasks)
     # How often each candidate occurs at all: through the same inverted index that matching uses.
-    patterns = stage(held.select(F.array_sort("items").alias("items")).groupBy("items").agg(F.count("*").alias("n")), "url-seen")
-    counted = match(patterns, together).groupBy("rule_items").agg(F.sum("n").alias("n_all"))
+    patterns = stage(held.select(F.array_sort("items").alias("items")).groupBy("items").agg(F.count("*").alias("n")), "url-seen", tasks)
+    counted = match(patterns, together, tasks).groupBy("rule_items").agg(F.sum("n").alias("n_all"))
     whole = lambda c: F.col(c).cast("decimal(38,0)")
     rules = (
         together.join(counted, together.items == counted.rule_items)
         .filter(2 * whole("n_bad") * F.lit(total) >= F.lit(lift_halves * n_bad) * whole("n_all"))
         .select("items", F.size("items").alias("n_items"), (F.col("n_bad") / F.col("n_all")).alias("confidence"), "n_bad")
     )
-    rules = stage(rules, "url-rules")
-    covered = match(rules.select("items", "n_items"), rules).filter("size(rule_items) < n_items").select("items").distinct()
-    pruned = stage(rules.join(covered, "items", "left_anti"), "url-pruned")
+    rules = stage(rules, "url-rules", tasks)
+    covered = match(rules.select("items", "n_items"), rules, tasks).filter("size(rule_items) < n_items").select("items").distinct()
+    pruned = stage(rules.join(covered, "items", "left_anti"), "url-pruned", tasks)
     discard(baskets, held, together, patterns, rules)
     return pruned
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows of ``urls`` (items, …) with each of ``rules`` (items) that fires on them, as ``rule_items``.
 
     The index holds a rule under that of its tokens which fewest of ``urls`` have. Catalyst broadcasts
@@ -120,10 +121,10 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     hot token. ``urls`` is read twice.
     """
     parts = rules.select(F.col("items").alias("rule_items"), F.explode("items").alias("token"))
-    tokens = stage(parts.select("token").distinct(), "rule-tokens")
+    tokens = stage(parts.select("token").distinct(), "rule-tokens", tasks)
     often = urls.select(F.explode("items").alias("token")).join(tokens, "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = parts.join(often, "token", "left").groupBy("rule_items").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r"))
-    index = stage(rarest.select(F.col("r.token").alias("token"), "rule_items"), "rule-index")
+    index = stage(rarest.select(F.col("r.token").alias("token"), "rule_items"), "rule-index", tasks)
     return (
         urls.select("*", F.explode("items").alias("token"))
         .join(index, "token")
@@ -148,12 +149,13 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules=LIST_RULES, **limits
 
     ``labelled`` has ``url`` and a boolean column for each label that makes a url bad.
     """
-    mined = stage(mined_rules(labelled, **limits).select("items").distinct(), "url-mined")
+    tasks = tasks_for(input_bytes(pages))
+    mined = stage(mined_rules(labelled, tasks=tasks, **limits).select("items").distinct(), "url-mined", tasks)
     rule, verdict = list_rule(rules)
     judged = parse(pages.select("page_id", "url")).select("*", tokens().alias("items"), rule.alias("rule"), verdict.alias("listed"))
     # A set of tokens is judged once, however many urls have it.
-    patterns = stage(judged.filter("listed IS NULL AND size(items) > 0").select("items").distinct(), "url-patterns")
-    bad = stage(match(patterns, mined).select("items").distinct().withColumn("mined", F.lit(True)), "url-bad")
+    patterns = stage(judged.filter("listed IS NULL AND size(items) > 0").select("items").distinct(), "url-patterns", tasks)
+    bad = stage(match(patterns, mined, tasks).select("items").distinct().withColumn("mined", F.lit(True)), "url-bad", tasks)
     discard(mined, patterns)
     return judged.join(bad, "items", "left").select(
         "page_id", "host", "path", "rule", F.expr("coalesce(listed, if(mined, 'block', 'allow'))").alias("verdict")
@@ -165,7 +167,7 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     ``low`` is low quality; of several rows of a document any that bears a label counts."""
     number = F.expr(r"try_cast(regexp_extract(path, '/([0-9]{1,18})', 1) AS bigint)")
     low, toxic = (F.coalesce(F.max(F.col(c) == v), F.lit(False)) for c, v in (("quality", 0), ("toxic", 1)))
-    marks = stage(labels.groupBy("doc_id").agg(low.alias("low"), toxic.alias("toxic")), "url-labels")
+    marks = stage(labels.groupBy("doc_id").agg(low.alias("low"), toxic.alias("toxic")), "url-labels", tasks_for(input_bytes(labels)))
     return parse(pages.select("url")).withColumn("doc_id", number).join(marks, "doc_id").select("url", "low", "toxic")
 
 
