@@ -62,6 +62,18 @@ def transitions(path: DataFrame) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("i")))
 
 
+def series_transitions(path: DataFrame) -> DataFrame:
+    """Counts of the steps from state i to state j of each series."""
+    w = Window.partitionBy(*KEY).orderBy("t")
+    steps = path.select("series_id", F.lag("state").over(w).alias("i"), F.col("state").alias("j")).filter("i IS NOT NULL")
+    return steps.groupBy("series_id", "i", "j").agg(F.count("*").alias("n"))
+
+
+def left_to_right(transition: DataFrame) -> DataFrame:
+    """(is_chain): whether every step of (i, j, p) stays or goes to the next state."""
+    return transition.filter("p > 0").agg(F.coalesce(F.bool_and((F.col("j") == F.col("i")) | (F.col("j") == F.col("i") + 1)), F.lit(True)).alias("is_chain"))
+
+
 def without_diagonal(transition: DataFrame) -> DataFrame:
     """(i, j, p) with the diagonal dropped and rows normalised anew."""
     left = transition.filter("i <> j")
@@ -108,14 +120,14 @@ def life_times(path: DataFrame, threshold: int = 0) -> DataFrame:
     ``threshold`` on, its last run only above it."""
     runs = visits(path).withColumn("n", F.sum("length").over(Window.partitionBy(*KEY)))
     keep = F.when(F.col("is_last"), F.col("length") > threshold).otherwise(F.col("length") >= threshold)
-    return runs.filter(keep & (F.col("n") > 1)).select(*KEY, "state", "start_t", F.col("length").alias("life_time"))
+    return runs.filter(keep & (F.col("n") > 1) & F.col("state").isNotNull()).select(*KEY, "state", "start_t", F.col("length").alias("life_time"))
 
 
 def interval_times(path: DataFrame, threshold: int = 0) -> DataFrame:
     """Samples between one visit of a state and its next; gaps below ``threshold`` are no gaps."""
     runs = visits(path)
     before = F.lag("end_t").over(Window.partitionBy(*KEY, "state").orderBy("start_t"))
-    gaps = runs.select(*KEY, "state", "start_t", (F.col("start_t") - before - 1).alias("interval")).filter("interval IS NOT NULL")
+    gaps = runs.filter("state IS NOT NULL").select(*KEY, "state", "start_t", (F.col("start_t") - before - 1).alias("interval")).filter("interval IS NOT NULL")
     return gaps.filter(F.col("interval") >= threshold)
 
 
@@ -124,6 +136,12 @@ def onsets(path: DataFrame, hz: float = 1.0) -> DataFrame:
     return visits(path).select(*KEY, "state", (F.col("start_t") / F.lit(hz)).alias("onset"))
 
 
+def confident_path(gamma: DataFrame, limit: float = 2 / 3) -> DataFrame:
+    """The state of a probability above ``limit`` at each sample, null where none has it; a limit of half
+    or more leaves one at most. Life and interval times of a soft time-course are those of this path."""
+    return gamma.groupBy(*KEY, "t").agg(F.max(F.when(F.col("p") > limit, F.col("state"))).alias("state"))
+
+
 def active_states(gamma: DataFrame, least: float) -> DataFrame:
     """Gamma without the states of a total mass of ``least`` or below, normalised anew per sample."""
     mass = gamma.groupBy("state").agg(F.sum("p").alias("mass")).filter(F.col("mass") > least).select("state")

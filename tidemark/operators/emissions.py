@@ -34,7 +34,7 @@ def bernoulli(x: Sequence[Column], a: Sequence[float], b: Sequence[float]) -> Co
     return out
 
 
-def poisson(x: Sequence[Column], shape: Sequence[float], rate: Sequence[float], largest: int = 170) -> Column:
+def poisson(x: Sequence[Column], shape: Sequence[float], rate: Sequence[float]) -> Column:
     """Expected log likelihood of counts whose rates have Gamma posteriors. log(x!) is the built-in
     factorial up to 20 and Stirling's series beyond."""
     out = F.lit(0.0)

@@ -32,8 +32,9 @@ def best_flips(tensor: np.ndarray, target: np.ndarray, start: np.ndarray) -> np.
     return -signs if (signs < 0).sum() > len(signs) / 2 else signs
 
 
-def find_flips(correlations: DataFrame, channels: int, rounds: int = 20) -> DataFrame:
-    """(series_id, i, j, lag, r) → (series_id, channel, flip)."""
+def find_flips(correlations: DataFrame, channels: int) -> DataFrame:
+    """(series_id, i, j, lag, r) → (series_id, channel, flip). Each change of a flip raises the summed
+    agreement with the mean, so the rounds end."""
     lags = correlations.agg(F.max("lag")).first()[0] + 1
     cells = F.array_sort(F.collect_list(F.struct("lag", "i", "j", "r")))
     current = stage(correlations.groupBy("series_id").agg(cells.alias("c")).select("series_id", F.col("c.r").alias("r"), F.array_repeat(F.lit(1), channels).alias("signs")), "flips")
@@ -53,7 +54,7 @@ def find_flips(correlations: DataFrame, channels: int, rounds: int = 20) -> Data
 
         return run
 
-    for _ in range(rounds):
+    while True:
         target = np.zeros(shape)
         place = current.select(F.posexplode("r").alias("k", "v"), "signs").groupBy("k").agg(
             F.avg(F.col("v") * F.expr(f"signs[int((k div {channels}) % {channels})]") * F.expr(f"signs[int(k % {channels})]")).alias("m")

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.special import log_sum_exp
 
 KEY = ("series_id", "segment_id")
-#: Samples of the segments of one Arrow batch, about: longer segments simply make larger batches.
+#: Segments of one Arrow batch, and padded samples that run together unless one segment has more.
 BATCH_SEGMENTS = 256
+PADDED_SAMPLES = 100_000
 
 
 def by_segment(log_likelihoods: DataFrame) -> DataFrame:
@@ -37,6 +38,18 @@ def _padded(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def of_like_length(batch: pa.RecordBatch, most: int = PADDED_SAMPLES) -> Iterator[pa.RecordBatch]:
+    """The segments (column ``t``) of a batch in groups of like length, none of more than ``most`` samples
+    once padded to its longest: one long recording doesn't widen the others."""
+    lengths = np.array([len(t) for t in batch.column("t")], int)
+    order = np.argsort(lengths, kind="stable")[::-1]
+    at = 0
+    while at < len(order):
+        end = at + max(1, min(len(order) - at, most // max(1, int(lengths[order[at]]))))
+        yield batch.take(pa.array(order[at:end]))
+        at = end
+
+
 def forward_backward(ll: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray):
     """Padded batch → (gamma, log evidence of each segment, pair sums of each segment)."""
     with np.errstate(divide="ignore"):
@@ -82,12 +95,11 @@ def viterbi(ll: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start:
 
 
 def _over_segments(log_likelihoods: DataFrame, make, schema: str) -> DataFrame:
-    log_likelihoods.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_SEGMENTS))
+    small_batches(log_likelihoods.sparkSession, BATCH_SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield make(batch)
+            yield from map(make, of_like_length(batch))
 
     return by_segment(log_likelihoods).mapInArrow(run, schema)
 

@@ -34,16 +34,15 @@ def matrix(rows, k: int) -> np.ndarray:
 
 
 def weighted_covariance(wide: DataFrame, names: Sequence[str], weight, by: Sequence[str] = ()) -> DataFrame:
-    """Mean-centred covariance per group, divided by the weights' sum: (…, i, j, cov) for i <= j."""
-    sums = products(wide, names, weight, by)
-    total = sums.filter("i = 0 AND j = 0").select(*by, F.col("s").alias("n"))
-    first = sums.filter("i = 0 AND j > 0")
-    a, b = first.select(*by, F.col("j").alias("i"), F.col("s").alias("si")), first.select(*by, "j", F.col("s").alias("sj"))
-    cells = sums.filter("i > 0")
-    for other, on in ((a, [*by, "i"]), (b, [*by, "j"])):
-        cells = cells.join(other, on)
-    cells = cells.join(total, list(by)) if by else cells.join(F.broadcast(total))
-    return cells.select(*by, "i", "j", ((F.col("s") - F.col("si") * F.col("sj") / F.col("n")) / F.col("n")).alias("cov"))
+    """Mean-centred covariance per group, divided by the weights' sum: (…, i, j, cov) for i <= j. Columns
+    are taken from their overall means first, so that large means cost no digits; then one aggregate."""
+    middle = wide.agg(*(F.avg(n) for n in names)).first()
+    x = [F.col(n) - float(m or 0.0) for n, m in zip(names, middle, strict=True)]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = [F.sum(weight).alias("n"), *(F.sum(weight * c).alias(f"f{i}") for i, c in enumerate(x)), *(F.sum(weight * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs)]
+    cov = lambda i, j: (F.col(f"s{i}_{j}") - F.col(f"f{i}") * F.col(f"f{j}") / F.col("n")) / F.col("n")
+    cells = F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), cov(i, j).alias("cov")) for i, j in pairs))
+    return wide.groupBy(*by).agg(*sums).select(*by, F.inline(cells))
 
 
 def covariance_from(sums: np.ndarray) -> np.ndarray:
@@ -101,4 +100,4 @@ def fit_mar(wide: DataFrame, names: Sequence[str], orders: Sequence[int], ridge:
 def prediction_error(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(…, y, yhat) → mean squared error, its share of the variance of y and explained variance."""
     e = (F.col("y") - F.col("yhat")) * (F.col("y") - F.col("yhat"))
-    return scored.groupBy(*by).agg(F.avg(e).alias("mse"), (F.avg(e) / F.var_pop("y")).alias("fraction")).withColumn("explained", 1 - F.col("fraction"))
+    return scored.groupBy(*by).agg(F.avg(e).alias("mse"), F.try_divide(F.avg(e), F.var_pop("y")).alias("fraction")).withColumn("explained", 1 - F.col("fraction"))

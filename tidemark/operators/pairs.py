@@ -37,8 +37,8 @@ def static_connectivity(long: DataFrame) -> DataFrame:
     return both.groupBy("series_id", "i", "j").agg(F.corr("x", "y").alias("r"))
 
 
-#: Blocks of series on either side of a matrix over series; a task holds one block of each side.
-BLOCKS = 8
+#: Series of a block on either side of a matrix over series; a task holds one block of each side.
+BLOCK_SERIES = 256
 
 
 def vectors(features: DataFrame, order: Sequence[str], value: str) -> DataFrame:
@@ -47,9 +47,11 @@ def vectors(features: DataFrame, order: Sequence[str], value: str) -> DataFrame:
     return features.groupBy("series_id").agg(cells.alias("c")).select("series_id", F.col("c.v").alias("v"))
 
 
-def block_pairs(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def block_pairs(rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """Pairs (a, x, b, y) of series a <= b of (series_id, v). The output is the matrix asked for, so it
-    grows with the square of the series; blocks of both sides meet, each pair in one task only."""
+    grows with the square of the series; blocks of both sides meet, each pair in one task only. Without
+    a number of blocks there is one for every ``BLOCK_SERIES`` series, eight at least."""
+    blocks = blocks or max(8, -(-rows.count() // BLOCK_SERIES))
     block, every = F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
     left = rows.select(F.col("series_id").alias("a"), F.col("v").alias("x"), block.alias("p"), F.explode(every).alias("q"))
     right = rows.select(F.col("series_id").alias("b"), F.col("v").alias("y"), block.alias("q"), F.explode(every).alias("p"))

@@ -7,6 +7,7 @@ the recursive filters and Fourier transforms, which run per segment through Arro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -66,11 +67,10 @@ def lag_orders(time_lag: int, order: int, exp_time_lag: float = 1.0, offset: int
     """The lags of an autoregression: evenly spaced, or spaced ever wider when ``exp_time_lag`` > 1."""
     if exp_time_lag <= 1:
         return list(range(offset + 1, order + 1, time_lag))
-    found, at, step = [], float(offset + 1), 1.0
-    while round(at) <= order:
-        if round(at) not in found:
-            found.append(round(at))
-        at, step = at + step, step * exp_time_lag
+    found, step = [offset + 1], 1.0
+    while (lag := found[-1] + math.floor(step + 0.5)) <= order:  # gaps are rounded, halves upwards
+        found.append(lag)
+        step *= exp_time_lag
     return found
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import uniform
+
 
 def segment_grid(spark: SparkSession, n_series: int, n_segments: int, length: int) -> DataFrame:
     """(series_id, segment_id, n)."""
@@ -77,7 +79,7 @@ def autoregressive_series(segments: DataFrame, coef, cov, orders, burn: int = 20
 
 def surrogate_path(visits: DataFrame, occupancy: list[float], seed: int = 0) -> DataFrame:
     """Keeps the visits' limits and draws each one's state anew from the occupancies."""
-    u = F.pmod(F.xxhash64("series_id", "segment_id", "start_t", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    u = uniform(F.col("series_id"), F.col("segment_id"), F.col("start_t"), seed=seed)
     state = F.lit(len(occupancy))
     for k, share in reversed(list(enumerate(np.cumsum(occupancy)[:-1], 1))):
         state = F.when(u < float(share), F.lit(k)).otherwise(state)

@@ -1,7 +1,8 @@
 """Tests by permutation, corrections, folds, confounds and one-hot coding.
 
-Permutations are seeded hash orders, so they are the same wherever a row is computed; a table of n
-units and P permutations has n P rows, spread over the cluster.
+Permutations are orders by a seeded MD5 of unit and permutation, so they are the same wherever, and
+in whatever engine, a row is computed; a table of n units and P permutations has n P rows, spread over
+the cluster.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import uniform
 from tidemark.operators import moments
 
 
@@ -18,7 +20,7 @@ def permuted(units: DataFrame, unit: str, value: str, permutations: int, seed: i
     """(perm, …, unit, value): permutation 0 is the data, others deal the values anew among the units
     (of one ``within`` group)."""
     many = units.select(*within, unit, value, F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm"))
-    order = F.when(F.col("perm") == 0, F.col(unit).cast("bigint")).otherwise(F.xxhash64(unit, "perm", F.lit(seed)))
+    order = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.col(unit).cast("string"), F.col("perm").cast("string"), F.lit(str(seed))).cast("binary")))
     place = many.withColumn("place", F.row_number().over(Window.partitionBy("perm", *within).orderBy(order, unit)))
     home = many.withColumn("place", F.row_number().over(Window.partitionBy("perm", *within).orderBy(unit)))
     keys = ["perm", *within, "place"]
@@ -32,12 +34,19 @@ def p_values(statistics: DataFrame, by: Sequence[str], statistic: str) -> DataFr
     return joined.groupBy(*by).agg(F.first("observed").alias("observed"), F.avg((F.col(statistic) >= F.col("observed")).cast("double")).alias("p"))
 
 
-def difference_test(units: DataFrame, measures: DataFrame, unit: str, label: str, permutations: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Permutation test of the absolute difference of means between units of label 1 and 0."""
+def difference_test(units: DataFrame, measures: DataFrame, unit: str, label: str, permutations: int, by: Sequence[str] = (), seed: int = 0, side: int = 0) -> DataFrame:
+    """One-sided permutation test of the difference of means between units of label 1 and 0: (by…,
+    observed, p, side). ``side`` 1 asks whether the first is the larger, -1 the smaller, 0 takes the side
+    of the observed difference; a difference on the other side has p 1, as has none at all."""
     dealt = permuted(units, unit, label, permutations, seed)
     groups = dealt.join(measures, unit).groupBy("perm", *by)
     means = groups.agg(F.avg(F.when(F.col(label) == 1, F.col("value"))).alias("one"), F.avg(F.when(F.col(label) == 0, F.col("value"))).alias("zero"))
-    return p_values(means.select("perm", *by, F.abs(F.col("one") - F.col("zero")).alias("stat")), by, "stat")
+    found = means.select("perm", *by, (F.col("one") - F.col("zero")).alias("d"))
+    sides = found.filter("perm = 0").select(*by, (F.when(F.col("d") > 0, 1).otherwise(-1) if side == 0 else F.lit(side)).alias("side"))
+    sided = found.join(sides, list(by)) if by else found.join(F.broadcast(sides))
+    tested = p_values(sided.select("perm", *by, (F.col("d") * F.col("side")).alias("stat")), by, "stat")
+    tested = tested.withColumn("p", F.when(F.col("observed") < 0, 1.0).otherwise(F.col("p")))
+    return tested.join(sides, list(by)) if by else tested.join(F.broadcast(sides))
 
 
 def correlation_test(units: DataFrame, measures: DataFrame, unit: str, target: str, permutations: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
@@ -80,9 +89,9 @@ def folds(units: DataFrame, unit: str, k: int, seed: int = 0, family: str | None
     """Adds ``fold`` 1 … k. A family stays in one fold; within strata folds are dealt evenly."""
     key = family or unit
     if stratify is None:
-        return units.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int") + 1)
+        return units.withColumn("fold", F.floor(uniform(F.col(key), seed=seed) * k).cast("int") + 1)
     heads = units.groupBy(key).agg(F.min(stratify).alias("stratum"))
-    dealt = heads.withColumn("fold", (F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1) % k + 1)
+    dealt = heads.withColumn("fold", (F.row_number().over(Window.partitionBy("stratum").orderBy(uniform(F.col(key), seed=seed), key)) - 1) % k + 1)
     return units.join(dealt.select(key, "fold"), key)
 
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.special import digamma, kl_dirichlet, kl_wishart
-from tidemark.operators.inference import BATCH_SEGMENTS, KEY, forward_backward, viterbi
-from tidemark.session import stage
+from tidemark.operators.inference import BATCH_SEGMENTS, KEY, forward_backward, of_like_length, viterbi
+from tidemark.session import discard, small_batches, stage
 
 
 #: Observations that starting clusters are found in.
@@ -38,6 +38,7 @@ class Options:
     zero_mean: bool = False
     seed: int = 0
     least_mass: float = 5.0
+    drop_states: bool = False
 
     @classmethod
     def of(cls, **given) -> Options:
@@ -118,12 +119,11 @@ def segments(observations: DataFrame) -> DataFrame:
 
 
 def _run_batches(grouped: DataFrame, make, schema: str) -> DataFrame:
-    grouped.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_SEGMENTS))
+    small_batches(grouped.sparkSession, BATCH_SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield make(batch)
+            yield from map(make, of_like_length(batch))
 
     return grouped.mapInArrow(run, schema)
 
@@ -224,14 +224,19 @@ def free_energy(model: Model, evidence: float) -> float:
     return float(total)
 
 
-def fit(observations: DataFrame, model: Model | None = None, **given) -> Model:
-    """Cycles until the free energy changes by less than ``tolerance`` of itself. Its history is kept."""
+def fit(observations: DataFrame, model: Model | None = None, grouped: DataFrame | None = None, **given) -> Model:
+    """Cycles until the free energy changes by less than ``tolerance`` of itself. Its history is kept.
+    With ``drop_states`` a state of less than ``least_mass`` samples goes. ``grouped`` are the segments
+    where they are stored already."""
     options = Options.of(**given)
-    grouped = stage(segments(observations), "segments")  # gathered once, read by every cycle
+    grouped = stage(segments(observations), "segments") if grouped is None else grouped  # gathered once, read by every cycle
     model = model or initial_model(observations, options)
     history: list[float] = []
     for _ in range(options.cycles):
         stats = statistics(grouped, model)
+        if options.drop_states and model.k > 1 and (stats["mass"] < options.least_mass).any() and (stats["mass"] >= options.least_mass).any():
+            model, history = pruned(model, stats, options.least_mass), []
+            stats = statistics(grouped, model)
         history.append(free_energy(model, stats["tail"][0]))
         if len(history) > 1 and abs(history[-2] - history[-1]) < options.tolerance * abs(history[-1]):
             break
@@ -333,11 +338,12 @@ def pruned(model: Model, stats: dict[str, np.ndarray], least: float) -> Model:
 def cross_validate(observations: DataFrame, folds: int, **given) -> list[float]:
     """Held-out log evidence per sample of each fold; a fold is a hash of the segment."""
     fold = F.pmod(F.xxhash64("series_id", "segment_id", F.lit(given.get("seed", 0))), F.lit(folds))
-    out = []
+    grouped, out = stage(segments(observations), "segments"), []
     for f in range(folds):
-        model = fit(observations.filter(fold != f), **given)
-        tail = statistics(segments(observations.filter(fold == f)), model)["tail"]
+        model = fit(observations.filter(fold != f), grouped=grouped.filter(fold != f), **given)
+        tail = statistics(grouped.filter(fold == f), model)["tail"]
         out.append(float(tail[0] / tail[1]))
+    discard(grouped)
     return out
 
 
@@ -361,9 +367,11 @@ def fit_best(observations: DataFrame, repetitions: int, short: int = 5, **given)
     """Several short runs from different seeds; the one of least free energy goes on to the end."""
     seed = given.pop("seed", 0)
     cycles = given.pop("cycles", Options.cycles)
-    runs = [fit(observations, cycles=short, seed=seed + n, **given) for n in range(repetitions)]
+    grouped = stage(segments(observations), "segments")
+    runs = [fit(observations, grouped=grouped, cycles=short, seed=seed + n, **given) for n in range(repetitions)]
     best = min(runs, key=lambda m: m.history[-1])
-    rest = fit(observations, best, cycles=cycles, seed=seed, **given)
+    rest = fit(observations, best, grouped, cycles=cycles, seed=seed, **given)
+    discard(grouped)
     return replace(rest, history=best.history + rest.history)
 
 

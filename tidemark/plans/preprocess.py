@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import pairs as j
@@ -11,13 +10,6 @@ from tidemark.plans.dynamics import _r
 from tidemark.plans.tables import SQL, gamma, long, path, samples, sql, suppliers
 from tidemark.session import table
 
-def _long(s, d):
-    """Segments of four samples or more, of which every channel varies."""
-    full = long(s, d)
-    n = F.count("*").over(Window.partitionBy("series_id", "segment_id", "channel"))
-    return full.withColumn("n", n).filter("n >= 4").drop("n")
-
-
 def _purchases(s, d):
     return path(s, d).filter("state = 3").select("series_id", "segment_id", "t")
 
@@ -55,14 +47,14 @@ QUERIES = {
         F.countDistinct("t").alias("n"), F.max(F.col("value").isNull() | F.isnan("value")).alias("bad")
     ),
     "src10_flip": lambda s, d: _r(j.flip(long(s, d), _flips(s, d)), "value"),
-    "pre01_standardise": lambda s, d: _r(p.standardise(p.clean(_long(s, d))), "value"),
-    "pre02_detrend": lambda s, d: _r(p.detrend(_long(s, d)), "value"),
+    "pre01_standardise": lambda s, d: _r(p.standardise(p.clean(long(s, d))), "value"),
+    "pre02_detrend": lambda s, d: _r(p.detrend(long(s, d)), "value"),
     "pre02_detrend_suppliers": lambda s, d: _r(p.detrend(suppliers(s, d).select("series_id", "segment_id", "t", F.lit(1).alias("channel"), F.col("x2").alias("value"))), "value"),
     "pre09_embedding": lambda s, d: _r(p.embed(long(s, d), [-1, 0, 1, 2]), "value"),
     "pre12_unwrap_embedding": lambda s, d: _r(p.unwrap_embedding(p.embed(long(s, d), [-1, 0, 1])), "value"),
     "pre13_decimate": lambda s, d: _r(p.decimate(long(s, d), 3), "value"),
     "pre14_clean": lambda s, d: _r(p.clean(long(s, d)), "value"),
-    "pre23_pairwise_classes": lambda s, d: p.pairwise_classes(_labels(s, d), list(range(4))),
+    "pre23_pairwise_classes": lambda s, d: p.pairwise_classes(_labels(s, d), list(range(10))),
     "pre28_hard_max": lambda s, d: gamma(s, d).groupBy("series_id", "segment_id", "t").agg(F.sort_array(F.collect_list(F.struct("state", F.col("p").alias("v")))).alias("c"))
     .select("series_id", "segment_id", "t", F.expr("transform(c, x -> x.v)").alias("scores")).transform(p.hard_max).select("series_id", "segment_id", "t", F.array_join("hard", "").alias("hard")),
     "pre30_lag_design": lambda s, d: _r(p.lag_design(long(s, d), [1, 2], True), "value"),
@@ -94,7 +86,6 @@ def _with(extra: str, query: str) -> str:
     return f"WITH {SQL}, {extra} {query}"
 
 
-_O4 = "o4 AS (SELECT * EXCLUDE n FROM (SELECT *, count(*) OVER (PARTITION BY series_id, segment_id, channel) AS n FROM o) WHERE n >= 4)"
 _TREND = "round(value - (avg(value) OVER w + coalesce(covar_pop(t, value) OVER w / nullif(var_pop(t) OVER w, 0), 0) * (t - avg(t) OVER w)), 6) AS value"
 
 ORACLES = {
@@ -104,16 +95,16 @@ ORACLES = {
     ),
     "src06_constraint_check": sql("SELECT series_id, segment_id, count(DISTINCT t) AS n, bool_or(value IS NULL OR isnan(value)) AS bad FROM o GROUP BY 1, 2"),
     "src10_flip": sql("SELECT series_id, segment_id, t, channel, round(value * CASE WHEN (series_id + channel) % 2 = 1 THEN -1 ELSE 1 END, 6) AS value FROM o"),
-    "pre01_standardise": _with(
-        _O4,
-        "SELECT series_id, segment_id, t, channel, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS value FROM o4 WHERE (series_id, segment_id) IN "
-        f"({_CLEAN.format('o4')}) WINDOW w AS (PARTITION BY series_id, segment_id, channel)",
+    "pre01_standardise": sql(
+        "SELECT series_id, segment_id, t, channel, round((value - avg(value) OVER w) / stddev_samp(value) OVER w, 6) AS value FROM o WHERE (series_id, segment_id) IN "
+        f"({_CLEAN.format('o')}) WINDOW w AS (PARTITION BY series_id, segment_id, channel)",
     ),
-    "pre02_detrend": _with(_O4, f"SELECT series_id, segment_id, t, channel, {_TREND} FROM o4 WINDOW w AS (PARTITION BY series_id, segment_id, channel)"),
+    "pre02_detrend": sql(f"SELECT series_id, segment_id, t, channel, {_TREND} FROM o WINDOW w AS (PARTITION BY series_id, segment_id, channel)"),
     "pre02_detrend_suppliers": sql(f"SELECT series_id, segment_id, t, 1 AS channel, {_TREND.replace('value', 'x2').replace('AS x2', 'AS value')} FROM l WINDOW w AS (PARTITION BY series_id, segment_id)"),
     "pre09_embedding": sql(
-        "SELECT a.series_id, a.segment_id, a.channel, a.t, k::INT AS lag, round(b.value, 6) AS value FROM (SELECT *, count(*) OVER (PARTITION BY series_id, segment_id, channel) AS n FROM o) a, "
-        "range(-1, 3) r(k), o b WHERE b.series_id = a.series_id AND b.segment_id = a.segment_id AND b.channel = a.channel AND b.t = a.t - k AND a.t > 2 AND a.t <= a.n - 1"
+        "SELECT series_id, segment_id, channel, t, lag::INT AS lag, round(value, 6) AS value FROM (SELECT series_id, segment_id, channel, t, unnest([-1, 0, 1, 2]) AS lag, unnest([ahead, value, b1, b2]) AS value "
+        "FROM (SELECT *, lead(value) OVER w AS ahead, lag(value) OVER w AS b1, lag(value, 2) OVER w AS b2, count(*) OVER (PARTITION BY series_id, segment_id, channel) AS n FROM o "
+        "WINDOW w AS (PARTITION BY series_id, segment_id, channel ORDER BY t)) WHERE t > 2 AND t <= n - 1)"
     ),
     "pre12_unwrap_embedding": sql(
         "SELECT o.series_id, o.segment_id, o.channel, o.t, round(o.value, 6) AS value, count(*) AS n_copies FROM (SELECT *, count(*) OVER (PARTITION BY series_id, segment_id, channel) AS n FROM o) o, "
@@ -121,7 +112,7 @@ ORACLES = {
     ),
     "pre13_decimate": sql("SELECT series_id, segment_id, ((t - 1) // 3 + 1)::INT AS t, channel, round(value, 6) AS value FROM o WHERE (t - 1) % 3 = 0"),
     "pre14_clean": sql(f"SELECT series_id, segment_id, t, channel, round(value, 6) AS value FROM o WHERE (series_id, segment_id) IN ({_CLEAN.format('o')})"),
-    "pre23_pairwise_classes": "SELECT vec_id, label, a::INT AS a, b::INT AS b, (CASE label WHEN a THEN 1 WHEN b THEN -1 ELSE 0 END)::INT AS code FROM embeddings, range(0, 4) x(a), range(0, 4) y(b) WHERE a < b",
+    "pre23_pairwise_classes": "SELECT vec_id, label, a::INT AS a, b::INT AS b, (CASE label WHEN a THEN 1 WHEN b THEN -1 ELSE 0 END)::INT AS code FROM embeddings, range(0, 10) x(a), range(0, 10) y(b) WHERE a < b",
     "pre28_hard_max": sql(
         "SELECT series_id, segment_id, t, string_agg((p = m)::INT::VARCHAR, '' ORDER BY state) AS hard FROM (SELECT *, max(p) OVER (PARTITION BY series_id, segment_id, t) AS m FROM g) GROUP BY 1, 2, 3"
     ),

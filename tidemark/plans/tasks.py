@@ -37,15 +37,9 @@ def _logits(s, p) -> DataFrame:
     return base.select("series_id", "segment_id", "t", F.inline(F.array(*cells)))
 
 
-def _by_time(s, p) -> DataFrame:
-    """Samples at times that at least ten segments reach."""
-    wide = samples(s, p)
-    return wide.withColumn("n", F.count("*").over(Window.partitionBy("t"))).filter("n >= 10").drop("n")
-
-
 def _r2(s, p) -> DataFrame:
-    wide = _by_time(s, p)
-    betas = dec.regression_by_time(wide, ["x2"], "x1", 0.0)
+    wide = samples(s, p)
+    betas = dec.regression_by_time(wide, ["x2"], "x1")
     return dec.r_squared(dec.predicted_by_time(wide.withColumn("y", F.col("x1")), ["x2"], betas))
 
 
@@ -117,13 +111,14 @@ QUERIES = {
     "dec29_class_scores": lambda s, p: _r(dec.class_scores(_logits(s, p), ["series_id", "segment_id", "t"]), "p"),
     "dec07_auc": lambda s, p: _r(dec.auc(_scored(s, p), ["series_id"]), "auc"),
     "dec02_r_squared_by_time": lambda s, p: _r(_r2(s, p), "r2"),
-    "dec15_regression_by_time": lambda s, p: _r(dec.regression_by_time(_by_time(s, p), ["x2"], "x1", 0.0), "beta"),
+    "dec15_regression_by_time": lambda s, p: _r(dec.regression_by_time(samples(s, p), ["x2"], "x1"), "beta"),
     "dec15_cross_validated": lambda s, p: dec.cross_validated(samples(s, p).withColumn("fold", (F.col("series_id") % 4).cast("int")), ["x2", "x3"], "x1"),
     "spec03_frequency_grid": lambda s, p: _r(spectra.frequency_grid(s, 200.0, 256, 1.0, 90.0), "f"),
     "spec09_time_frequency": lambda s, p: _r(spectra.time_frequency(gamma(s, p), _state_spectra(s, p)), "value"),
     "spec18_sum_of_squares": lambda s, p: _r(spectra.sum_of_squares(long(s, p), ["series_id", "channel"]).withColumn("value", F.col("value") / 1000), "value"),
     "spec02_multitaper": lambda s, p: spectra.multitaper(_supplier_arrays(s, p), 64, 1.0),
-    "spec15_phase_locking": lambda s, p: spectra.phase_locking(_supplier_arrays(s, p)),
+    "spec08_phase_locking": lambda s, p: spectra.phase_locking(_supplier_arrays(s, p)),
+    "spec08_phase_locking_by_state": lambda s, p: spectra.phase_locking(observations(s, p), gamma(s, p)),
     "spec13_jackknife": lambda s, p: spectra.jackknife(long(s, p).groupBy("segment_id", "channel").agg(F.avg("value").alias("value")), ["channel"]),
     "pre03_band_filter": lambda s, p: pre.band_filter(_price(s, p), (0.0, 0.1), 1.0),
     "pre05_envelope": lambda s, p: pre.envelope(_price(s, p)),
@@ -152,7 +147,11 @@ QUERIES = {
 
 _TESTS = "tests AS (SELECT i, j, p FROM trans)"
 _EDGES = "edges AS (SELECT a.series_id, a.channel AS i, b.channel AS j, corr(a.value, b.value) AS r FROM o a JOIN o b USING (series_id, segment_id, t) WHERE a.channel < b.channel GROUP BY 1, 2, 3)"
-_BY_TIME = "bt AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM s) WHERE n >= 10)"
+# Ridge regression of x1 on x2 at each time: 1e-4 on the diagonal of the two normal equations.
+_BY_TIME = (
+    "q AS (SELECT t, count(*) + 1e-4::DOUBLE AS n, sum(x2) AS sx, sum(x2 * x2) + 1e-4::DOUBLE AS sxx, sum(x1) AS sy, sum(x1 * x2) AS sxy FROM s GROUP BY 1), "
+    "bt AS (SELECT t, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM q)"
+)
 _SPEC = "sp AS (SELECT state, floor(x1 / 10) AS f, avg(x3) AS value FROM s GROUP BY 1, 2)"
 _BETA = "beta(state, term, beta) AS (VALUES " + ", ".join(f"({a}, {b}, {c}::DOUBLE)" for a, b, c in BETA) + ")"
 _LOGIT = (
@@ -165,7 +164,30 @@ def _with(extra: str, query: str) -> str:
     return f"WITH {SQL}, {extra} {query}"
 
 
+# Units dealt anew 200 times, in the order of MD5 of unit, permutation and seed 1; permutation 0 is the data.
+_PERM = (
+    "fo AS (SELECT series_id, state, sum(p) / sum(sum(p)) OVER (PARTITION BY series_id) AS value FROM g GROUP BY series_id, state), "
+    "un AS (SELECT series_id, target, (target > median(target) OVER ())::INT AS label FROM (SELECT series_id, avg(x1) AS target FROM s GROUP BY 1)), "
+    "pl AS (SELECT perm, un.*, row_number() OVER (PARTITION BY perm ORDER BY series_id) AS home, "
+    "row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5(series_id || ':' || perm || ':1') END, series_id) AS place FROM un, range(0, 201) r(perm)), "
+    "dl AS (SELECT a.perm, a.series_id, b.label, b.target FROM pl a JOIN pl b ON a.perm = b.perm AND a.home = b.place)"
+)
 ORACLES = {
+    "stat04_difference_test": _with(
+        _PERM + ", st AS (SELECT perm, state, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS d FROM dl JOIN fo USING (series_id) GROUP BY 1, 2), "
+        "sd AS (SELECT state, CASE WHEN d > 0 THEN 1 ELSE -1 END AS side, abs(d) AS observed FROM st WHERE perm = 0)",
+        "SELECT state, side, round(observed, 6) AS observed, round(avg((d * side >= observed)::INT), 6) AS p FROM st JOIN sd USING (state) GROUP BY 1, 2, 3",
+    ),
+    "stat02_correlation_test": _with(
+        _PERM + ", st AS (SELECT perm, state, corr(value, target) ** 2 AS d FROM dl JOIN fo USING (series_id) GROUP BY 1, 2), ob AS (SELECT state, d AS observed FROM st WHERE perm = 0)",
+        "SELECT state, round(observed, 6) AS observed, round(avg((d >= observed)::INT), 6) AS p FROM st JOIN ob USING (state) GROUP BY 1, 2",
+    ),
+    "stat24_folds": "SELECT c_custkey, c_nationkey, c_mktsegment, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || ':0')[1:12], c_custkey) - 1) % 5 + 1)::INT AS fold FROM customer",
+    "win07_surrogate_path": _with(
+        "sh AS (SELECT state, sum(count(*)) OVER (ORDER BY state) / sum(count(*)) OVER () AS top FROM s GROUP BY 1), "
+        "dr AS (SELECT *, ('0x' || substr(md5(series_id || ':' || segment_id || ':' || start_t || ':0'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM runs)",
+        "SELECT series_id, segment_id, start_t, end_t, length, is_last, (SELECT min(state) FROM sh WHERE u < top OR state = 5)::INT AS state FROM dr",
+    ),
     "stat09_benjamini_hochberg": _with(
         _TESTS,
         "SELECT i, j, round(p, 6) AS p, round(least(1, min(p * n / r) OVER (PARTITION BY i ORDER BY r DESC)), 6) AS q FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY p) AS r, count(*) OVER (PARTITION BY i) AS n FROM tests)",
@@ -182,9 +204,9 @@ ORACLES = {
         "SELECT series_id, round(sum(CASE WHEN a > b THEN 1.0 WHEN a = b THEN 0.5 ELSE 0 END) / count(a), 6)::DOUBLE AS auc FROM (SELECT u.series_id, u.score AS a, v.score AS b FROM z u JOIN z v "
         "ON u.series_id = v.series_id AND u.label AND NOT v.label) GROUP BY 1",
     ),
-    "dec02_r_squared_by_time": _with(_BY_TIME, "SELECT t, round(regr_r2(x1, x2), 6) AS r2 FROM bt GROUP BY 1"),
+    "dec02_r_squared_by_time": _with(_BY_TIME, "SELECT t, round(1 - avg((x1 - b0 - b1 * x2) ** 2) / nullif(var_pop(x1), 0), 6) AS r2 FROM s JOIN bt USING (t) GROUP BY 1"),
     "dec15_regression_by_time": _with(
-        _BY_TIME, "SELECT t, 0 AS term, round(regr_intercept(x1, x2), 6) AS beta FROM bt GROUP BY 1 UNION ALL SELECT t, 1, round(regr_slope(x1, x2), 6) FROM bt GROUP BY 1"
+        _BY_TIME, "SELECT t, unnest([0, 1]) AS term, round(unnest([b0, b1]), 6) AS beta FROM bt"
     ),
     "spec03_frequency_grid": "SELECT i::INT AS \"index\", round(i * 200.0 / 256, 6)::DOUBLE AS f FROM range(0, 129) r(i) WHERE i * 200.0 / 256 BETWEEN 1 AND 90",
     "spec09_time_frequency": _with(

@@ -72,6 +72,13 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """A session that keeps Spark's default number of rows in an Arrow batch gets ``rows``; any other stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; for file scans the bytes of the files. No job runs."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
