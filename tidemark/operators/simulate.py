@@ -77,6 +77,42 @@ def autoregressive_series(segments: DataFrame, coef, cov, orders, burn: int = 20
     return _simulated(segments, make, "x array<double>")
 
 
+def like_observed(observations: DataFrame, names, order: int, segments: DataFrame, seed: int = 0) -> DataFrame:
+    """(…, t, x) of an autoregression fitted to columns ``names`` of ``observations``, means added; order 0
+    draws from one normal."""
+    from tidemark.operators import moments
+
+    if order == 0:
+        sums = moments.matrix(moments.products(observations, names).collect(), len(names))
+        mean = sums[0, 1:] / sums[0, 0]
+        return gaussian_series(segments, [[1.0]], [1.0], [mean], [moments.covariance_from(sums)], seed).drop("state")
+    orders = list(range(1, order + 1))
+    found = moments.fit_mar(observations, names, orders)
+    body = found["coef"][1:].reshape(order, len(names), len(names)).transpose(0, 2, 1)
+    mean = np.linalg.solve(np.eye(len(names)) - body.sum(0), found["coef"][0])
+    plain = autoregressive_series(segments, body, found["cov"], orders, seed=seed)
+    return plain.withColumn("x", F.expr(f"transform(x, (v, i) -> v + array({', '.join(f'{m!r}D' for m in map(float, mean))})[i])"))
+
+
+def delay_series(segments: DataFrame, covariance, channels: int, burn: int = 200, seed: int = 0) -> DataFrame:
+    """(…, t, x) whose windows of M samples have a given covariance: rows and columns run over lags from the
+    oldest to the newest, channels within. Each sample is drawn given the M - 1 before it; ``burn`` samples at
+    the start are dropped."""
+    s = np.asarray(covariance, float)
+    past = len(s) - channels
+    gain = np.linalg.solve(s[:past, :past], s[:past, past:]) if past else np.zeros((0, channels))
+    root = np.linalg.cholesky(s[past:, past:] - s[past:, :past] @ gain)
+
+    def make(series, segment, n):
+        x = _generator(seed, series, segment).standard_normal((n + burn, channels)) @ root.T
+        lags = past // channels
+        for t in range(lags, n + burn):
+            x[t] += x[t - lags : t].ravel() @ gain
+        return {"x": list(x[burn:])}
+
+    return _simulated(segments, make, "x array<double>")
+
+
 def surrogate_path(visits: DataFrame, occupancy: list[float], seed: int = 0) -> DataFrame:
     """Keeps the visits' limits and draws each one's state anew from the occupancies."""
     u = uniform(F.col("series_id"), F.col("segment_id"), F.col("start_t"), seed=seed)
