@@ -163,6 +163,21 @@ def test_whole_texts_are_learned_from(spark):
     assert len(toxicity.training_rows(docs, labels, 5)) == 10
 
 
+def test_term_counts_by_brute_force():
+    rng = random.Random(9)
+    make = lambda: collections.Counter({"".join(rng.choices("abc", k=rng.randrange(1, 7))): rng.randrange(1, 6) for _ in range(120)})
+    clean, toxic = make(), make()
+    starts, candidates = toxicity.term_counts(clean, toxic)
+    full = [collections.Counter(), collections.Counter()]
+    for k, words in enumerate((clean, toxic)):
+        for w, n in words.items():
+            for term in [w[:end] for end in range(3, len(w) + 1)] + [w + "$"]:
+                full[k][term] += n
+    want = {t: n for t, n in full[1].items() if n > 3}
+    assert dict(starts[1]) == want and candidates == len(full[1])
+    assert dict(starts[0]) == {t: n for t, n in full[0].items() if t in want}
+
+
 def test_rows_that_share_a_passage_are_no_copies():
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]

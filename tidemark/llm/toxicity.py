@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import held_out, map_batches, same_columns, texts
+from tidemark.session import discard, stage
 
 #: Labelled rows of each class that the lexicon is learned from, at most; the rows of least hash are taken.
 SAMPLE_ROWS = 6000
@@ -77,6 +78,38 @@ def min_marks(words: list[str]) -> list[int]:
     return [int(((grams * f + s) & np.uint64(0xFFFFFFFF)).min()) for f, s in zip(factors, shifts, strict=True)]
 
 
+def term_counts(clean: Counter, toxic: Counter, least: int = 4) -> tuple[tuple[Counter, Counter], int]:
+    """Counts, over clean and over toxic rows, of the word starts of three letters or more and the whole words
+    (marked ``$``) that ``least`` toxic rows have, from counts of words; and how many starts and words toxic
+    rows have at all. A start that few rows have isn't made any longer, so that only what can become a term
+    is held."""
+    candidates, before = len(toxic), ""
+    for word in sorted(toxic):
+        same = 0
+        while same < min(len(word), len(before)) and word[same] == before[same]:
+            same += 1
+        candidates += max(0, len(word) - max(2, same))
+        before = word
+    starts: tuple[Counter, Counter] = (Counter(), Counter({w + "$": n for w, n in toxic.items() if n >= least}))
+    alive, end = [(w, n) for w, n in toxic.items() if len(w) > 2], 3
+    while alive:
+        counts = Counter()
+        for word, n in alive:
+            counts[word[:end]] += n
+        kept = {t: n for t, n in counts.items() if n >= least}
+        starts[1].update(kept)
+        alive = [(w, n) for w, n in alive if len(w) > end and w[:end] in kept]
+        end += 1
+    for word, n in clean.items():
+        if word + "$" in starts[1]:
+            starts[0][word + "$"] += n
+        for end in range(3, len(word) + 1):
+            if word[:end] not in starts[1]:
+                break
+            starts[0][word[:end]] += n
+    return starts, candidates
+
+
 def learn(rows, min_odds: float = 20.0) -> Lexicon:
     """``rows``: (text, toxic). Terms are word starts of three letters or more, and whole words, that
     toxic rows have far oftener than chance among so many candidates gives; of those that occur in
@@ -97,14 +130,7 @@ def learn(rows, min_odds: float = 20.0) -> Lexicon:
         seen[toxic].update(set(words))
     if not total[1]:
         return Lexicon()
-    starts: tuple[Counter, Counter] = (Counter(), Counter())
-    for k in (1, 0):
-        for word, n in seen[k].items():
-            for end in range(3, len(word) + 1):
-                if k or word[:end] in starts[1]:
-                    starts[k][word[:end]] += n
-            if k or word + "$" in starts[1]:
-                starts[k][word + "$"] += n
+    starts, candidates = term_counts(*seen)
 
     def odds(term: str) -> float:
         return ((starts[1][term] + 0.5) / (total[1] + 1)) / ((starts[0][term] + 0.5) / (total[0] + 1))
@@ -115,8 +141,8 @@ def learn(rows, min_odds: float = 20.0) -> Lexicon:
         rate = min(1.0, both / sum(total))
         return sum(n * math.log(n / (rate * size)) for n, size in zip((starts[0][term], starts[1][term]), total, strict=True) if n)
 
-    least = math.log(1000.0 * max(1, len(starts[1])))
-    good = {t for t, n in starts[1].items() if n > 3 and odds(t) >= min_odds and surprise(t) >= least}
+    least = math.log(1000.0 * max(1, candidates))
+    good = {t for t in starts[1] if odds(t) >= min_odds and surprise(t) >= least}
     terms: dict[str, float] = {}
     for term in sorted(good, key=lambda t: (len(t), t)):
         shorter = next((term[:n] for n in range(len(term) - 1, 2, -1) if term[:n] in terms), None)
@@ -198,8 +224,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SA
     # Two integers for each of at most 2 * sample_rows rows: small at any size of the corpus. One text of
     # each leaves the executors, however often a doc_id is repeated.
     found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = found.select("doc_id", F.make_valid_utf8("text"), "toxic").collect()
-    return [(text or "", int(toxic)) for _, text, toxic in sorted(rows, key=lambda r: r[0])]
+    held = stage(found.select("doc_id", F.make_valid_utf8("text").alias("text"), "toxic"), "toxicity-rows", 8)
+    rows = [(doc_id, text or "", int(toxic)) for doc_id, text, toxic in held.toLocalIterator()]  # a file at a time
+    discard(held)
+    return [(text, toxic) for _, text, toxic in sorted(rows)]
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
