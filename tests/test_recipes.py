@@ -171,6 +171,23 @@ def test_long_segments_do_not_widen_short_ones(spark):
     assert parts == [[0], [3], [4, 1, 2]] and sorted(sum(parts, [])) == list(range(5))
 
 
+def test_median_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "EXACT_VALUES", 3)
+    monkeypatch.setattr(pairs, "RANGES", 4)
+    rng = np.random.default_rng(11)
+    for values in ([5.0], [1.0, 2.0], [2.0] * 9, [0.0] * 5 + [9.0] * 5, list(map(float, rng.standard_normal(101) ** 3)), list(map(float, rng.integers(0, 6, 60)))):
+        assert pairs.exact_median(spark.createDataFrame([(v,) for v in values] + [(None,)], "d double"), "d") == pytest.approx(np.median(values))
+    assert pairs.exact_median(spark.createDataFrame([], "d double"), "d") is None
+
+
+def test_filters_of_many_series_are_those_of_one():
+    rng = np.random.default_rng(12)
+    b, a = p.butterworth(3, (2.0, 8.0), 50.0)
+    rows = [rng.standard_normal(n) for n in (200, 31, 60, 200)]
+    for x, y in zip(rows, p.zero_phases(b, a, rows)):
+        assert y == pytest.approx(p.zero_phase(b, a, x))
+
+
 def test_phase_locking_by_state(spark):
     t = np.arange(512)
     a, b = np.sin(2 * np.pi * t / 16), np.where(t < 256, np.sin(2 * np.pi * t / 16 + 1), np.random.default_rng(8).standard_normal(512))

@@ -49,8 +49,9 @@ def max_occupancy(gamma: DataFrame) -> DataFrame:
 def switching_rate(gamma: DataFrame) -> DataFrame:
     """Half the summed change of probabilities, per step of segments longer than one sample."""
     w = Window.partitionBy(*KEY, "state").orderBy("t")
-    steps = gamma.withColumn("change", F.abs(F.col("p") - F.lag("p").over(w))).filter("change IS NOT NULL")
-    return steps.groupBy("series_id").agg((F.sum("change") / 2 / F.count_distinct("segment_id", "t")).alias("rate"))
+    steps = gamma.withColumn("change", F.abs(F.col("p") - F.lag("p").over(w)))
+    by = steps.groupBy(*KEY).agg(F.sum("change").alias("change"), (F.max("t") - F.min("t")).alias("n")).filter("n > 0")
+    return by.groupBy("series_id").agg((F.sum("change") / 2 / F.sum("n")).alias("rate"))
 
 
 def transitions(path: DataFrame) -> DataFrame:

@@ -32,9 +32,16 @@ def masked_transitions(path: DataFrame, mask: DataFrame) -> DataFrame:
 
 def static_connectivity(long: DataFrame) -> DataFrame:
     """Correlation of each channel pair i < j over all samples of a series."""
-    other = long.select(*KEY, "t", F.col("channel").alias("j"), F.col("value").alias("y"))
-    both = long.select(*KEY, "t", F.col("channel").alias("i"), F.col("value").alias("x")).join(other, [*KEY, "t"]).filter("i < j")
-    return both.groupBy("series_id", "i", "j").agg(F.corr("x", "y").alias("r"))
+    wide, channels = by_sample(long)
+    pairs = [(a, b) for a in channels for b in channels if a < b]
+    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.corr(f"c{a}", f"c{b}").alias("r")) for a, b in pairs]
+    return wide.groupBy("series_id").agg(F.array(*cells).alias("c")).select("series_id", F.inline("c")) if pairs else long.select("series_id", F.col("channel").alias("i"), F.col("channel").alias("j"), F.col("value").alias("r")).limit(0)
+
+
+def by_sample(long: DataFrame) -> tuple[DataFrame, list[int]]:
+    """One row per sample with a column ``c1``, ``c2`` … for each channel, and the channels, which are few."""
+    channels = [r.channel for r in long.select("channel").distinct().orderBy("channel").collect()]
+    return long.groupBy(*KEY, "t").agg(*(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(f"c{c}") for c in channels)), channels
 
 
 #: Series of a block on either side of a matrix over series; a task holds one block of each side.
@@ -71,12 +78,14 @@ def edge_similarity(edges: DataFrame) -> DataFrame:
 
 
 def lagged_correlation(long: DataFrame, max_lag: int) -> DataFrame:
-    """Correlation per series of x_i(t - lag) with x_j(t), pooled over its segments."""
-    w = Window.partitionBy(*KEY, "channel").orderBy("t")
-    shifted = F.array(*(F.struct(F.lit(k).alias("lag"), F.lag("value", k).over(w).alias("x")) for k in range(max_lag + 1)))
-    past = long.select(*KEY, "t", F.col("channel").alias("i"), shifted.alias("s")).select(*KEY, "t", "i", F.inline("s")).filter("x IS NOT NULL")
-    now = long.select(*KEY, "t", F.col("channel").alias("j"), F.col("value").alias("y"))
-    return past.join(now, [*KEY, "t"]).groupBy("series_id", "i", "j", "lag").agg(F.corr("x", "y").alias("r"))
+    """Correlation per series of x_i(t - lag) with x_j(t), pooled over its segments: one window over samples,
+    then one aggregate."""
+    wide, channels = by_sample(long)
+    w = Window.partitionBy(*KEY).orderBy("t")
+    past = wide.select("*", *(F.lag(f"c{c}", k).over(w).alias(f"c{c}_{k}") for c in channels for k in range(1, max_lag + 1)))
+    name = lambda c, k: f"c{c}_{k}" if k else f"c{c}"
+    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(k).alias("lag"), F.corr(name(a, k), f"c{b}").alias("r")) for a in channels for b in channels for k in range(max_lag + 1)]
+    return past.groupBy("series_id").agg(F.array(*cells).alias("c")).select("series_id", F.inline("c"))
 
 
 def flip(long: DataFrame, flips: DataFrame) -> DataFrame:
@@ -162,9 +171,39 @@ def distances(features: DataFrame) -> DataFrame:
     return block_pairs(vectors(features, ["feature"], "value")).filter("a < b").select("a", "b", squares.alias("d"))
 
 
+#: Ranges that values are counted in on the way to a quantile, and values among which it is taken exactly.
+RANGES, EXACT_VALUES = 1024, 100_000
+
+
+def exact_median(rows: DataFrame, column: str) -> float | None:
+    """Median without sorting all values in one task: ranges are counted, and the one in which the middle lies
+    is split again, until few enough values are left."""
+    rows = rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    before, part = 0, rows
+    first, last = (n - 1) // 2, n // 2  # places of the middle, from 0
+    while n > EXACT_VALUES and low < high:
+        place = F.least(F.floor((F.col("v") - low) / ((high - low) / RANGES)), F.lit(RANGES - 1)).alias("k")
+        at, chosen = before, []
+        for r in sorted(part.groupBy(place).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
+            if at <= last and at + r.n > first:
+                chosen.append((at, r.n, r.lo, r.hi))
+            at += r.n
+        if len(chosen) == 2:  # the middle lies between two ranges
+            return (chosen[0][3] + chosen[1][2]) / 2
+        before, n, low, high = chosen[0]
+        part = rows.filter(F.col("v").between(low, high))
+    if low == high:
+        return low
+    values = sorted(r.v for r in part.collect())
+    return (values[first - before] + values[last - before]) / 2
+
+
 def median_distance(d: DataFrame) -> DataFrame:
     """The median of the distances, for the width of a Gaussian kernel."""
-    return d.agg(F.percentile("d", F.lit(0.5)).alias("sigma"))
+    return d.sparkSession.createDataFrame([(exact_median(d, "d"),)], "sigma double")
 
 
 def gaussian_kernel(d: DataFrame, tau: float) -> DataFrame:

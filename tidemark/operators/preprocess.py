@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import small_batches
+
 KEY = ("series_id", "segment_id")
 CHANNEL = (*KEY, "channel")
 
@@ -135,6 +137,29 @@ def per_segment(long: DataFrame, function) -> DataFrame:
     return long.groupBy(*CHANNEL).applyInPandas(run, long.schema)
 
 
+def many_segments(long: DataFrame, function) -> DataFrame:
+    """Applies ``function`` to lists of segments' values, those of an Arrow batch that are of like length at a
+    time: for what is a loop over time, taken by all of them together."""
+    import pyarrow as pa
+
+    from tidemark.operators.inference import BATCH_SEGMENTS, of_like_length
+
+    rows = F.array_sort(F.collect_list(F.struct("t", "value")))
+    held = long.groupBy(*CHANNEL).agg(rows.alias("r")).select(*CHANNEL, F.col("r.t").alias("t"), F.col("r.value").alias("v"))
+    small_batches(long.sparkSession, BATCH_SEGMENTS)
+
+    def run(batches):
+        for batch in batches:
+            for part in of_like_length(batch):
+                found = function([np.asarray(v.values, float) for v in part.column("v")])
+                columns = {c: part.column(c) for c in (*CHANNEL, "t")}
+                yield pa.RecordBatch.from_pydict(columns | {"v": pa.array([x.tolist() for x in found], pa.list_(pa.float64()))})
+
+    kinds = {c: long.schema[c].dataType.simpleString() for c in (*CHANNEL, "t")}
+    filtered = held.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in CHANNEL) + f", t array<{kinds['t']}>, v array<double>")
+    return filtered.select(*CHANNEL, F.inline(F.arrays_zip("t", "v"))).select(*CHANNEL, "t", F.col("v").alias("value"))
+
+
 def analytic(x: np.ndarray) -> np.ndarray:
     """Analytic signal by the Fourier transform."""
     n = len(x)
@@ -187,6 +212,38 @@ def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndar
     return out
 
 
+def recursive_filters(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """``recursive_filter`` of the rows of ``x`` (rows, time) together, from ``state`` (rows, order)."""
+    out, z = np.empty_like(x), np.concatenate([state, np.zeros((len(x), 1))], 1)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        y = b[0] * v + z[:, 0]
+        z[:, :-1] = z[:, 1:] + np.outer(v, b[1:]) - np.outer(y, a[1:])
+        out[:, i] = y
+    return out
+
+
+def zero_phases(b: np.ndarray, a: np.ndarray, rows: list[np.ndarray]) -> list[np.ndarray]:
+    """``zero_phase`` of several series together: all are padded to the longest, which what is causal doesn't
+    see, and each is turned round by its own length for the way back."""
+    n = max(len(a), len(b))
+    a, b = np.r_[a, np.zeros(n - len(a))] / a[0], np.r_[b, np.zeros(n - len(b))] / a[0]
+    companion = np.zeros((n - 1, n - 1))
+    companion[:, 0] = -a[1:]
+    companion[:-1, 1:] = np.eye(n - 2)
+    steady = np.linalg.solve(np.eye(n - 1) - companion, b[1:] - a[1:] * b[0])
+    edges = [min(3 * n, len(x) - 1) for x in rows]
+    ext = [np.r_[2 * x[0] - x[e:0:-1], x, 2 * x[-1] - x[-2 : -e - 2 : -1]] for x, e in zip(rows, edges, strict=True)]
+    lengths = np.array([len(x) for x in ext])
+    padded, inside = np.zeros((len(ext), lengths.max())), np.arange(lengths.max()) < lengths[:, None]
+    padded[inside] = np.concatenate(ext)
+    back = np.where(inside, lengths[:, None] - 1 - np.arange(lengths.max()), 0)
+    turned = lambda y: np.where(inside, np.take_along_axis(y, back, 1), 0.0)
+    y = turned(recursive_filters(b, a, padded, steady * padded[:, :1]))
+    y = turned(recursive_filters(b, a, y, steady * y[:, :1]))
+    return [v[e : e + len(x)] for v, e, x in zip(y, edges, rows, strict=True)]
+
+
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Filters forwards and backwards, with reflected ends and steady initial states."""
     n = max(len(a), len(b))
@@ -207,7 +264,7 @@ def band_filter(long: DataFrame, band: tuple[float, float], fs: float, order: in
     for n in range(order, 0, -1):
         b, a = butterworth(n, band, fs)
         if np.all(np.abs(np.roots(a)) < 1):
-            return per_segment(long, lambda x: zero_phase(b, a, x))
+            return many_segments(long, lambda rows: zero_phases(b, a, rows))
     raise ValueError("no stable filter for this band")
 
 
