@@ -244,3 +244,68 @@ def test_points_and_distances():
     points = np.random.default_rng(8).random((5, 2))
     distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     assert dc.is_euclidean(distance) and not dc.is_euclidean(np.array([[0, 1, 5.0], [1, 0, 1], [5, 1, 0]]))
+
+
+def test_classes_are_decoded_and_encoded(spark):
+    rng, rows = np.random.default_rng(20), []
+    for trial in range(40):
+        label = trial % 2
+        for t in range(1, 9):
+            turn = 1.0 if t <= 4 else -1.0
+            x = rng.standard_normal(2) + np.array([2.0 * turn * (2 * label - 1), 0.0])
+            rows.append((trial, 1, t, x.tolist(), label))
+    data = dc.class_targets(spark.createDataFrame(rows, f"{SERIES}, x array<double>, label int"), "label", [0, 1]).cache()
+    model = rc.fit_best(data.drop("label"), rc.Family((), False, "shareddiag"), 2, 2, 4, 10)
+    right = dc.decoded_classes(rc.predict(data.drop("label"), model), [0, 1]).agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0]
+    assert right > 0.9
+    turned = dc.class_targets(data, "label", [0, 1], 0.0).select("series_id", "segment_id", "t", F.col("y").alias("x"), F.col("x").alias("y"))
+    encoder = rc.fit_best(turned, rc.Family((), True, "sharedfull"), 2, 2, 4, 10)
+    course = rc.decode(turned, encoder).groupBy("t", "state").agg(F.avg("p").alias("p"))
+    found = dc.discriminate_by_states(data, encoder, course, [0, 1])
+    best = found.filter("p > 0.5").join(data, ["series_id", "segment_id", "t"]).agg(F.avg((F.col("class") == F.col("label")).cast("double")), F.count("*")).first()
+    assert best[0] > 0.9 and best[1] == 320 and found.groupBy("series_id", "t").agg(F.sum("p").alias("s")).filter("abs(s - 1) > 1e-9").isEmpty()
+    tested = dc.chain_permutations(data.drop("label"), rc.Family((), False, "shareddiag"), 2, 2, 2, 15)
+    assert tested.filter("i = 1 AND t = 2 AND observed > 0.4").count() == 1
+    ready, kept = dc.prepared(data.withColumn("s", F.col("label").cast("double")).filter("t <= 4").select("series_id", "segment_id", "t", "x", "s"), "s", 1)
+    assert kept == [1] and len(ready.first()["x"]) == 2
+
+
+def test_one_response_of_several(two_states):
+    data = two_states[0]
+    model = rc.fit(data, rc.Family((1,), True, "diag"), 2, 3)
+    parts = [rc.marginal(model, i) for i in (1, 2)]
+    x, y = np.random.default_rng(21).standard_normal((5, 3)), np.random.default_rng(22).standard_normal((5, 2))
+    assert sum(part.log_likelihood(x, y[:, i : i + 1]) for i, part in enumerate(parts)) == pytest.approx(model.log_likelihood(x, y))
+    assert rc.with_response(rc.perturbed(model, 1.0), parts[0], 1).w[:, :, 0] == pytest.approx(model.w[:, :, 0])
+    assert rc.with_chain(rc.perturbed(model), model).transition() == pytest.approx(model.transition())
+    with pytest.raises(ValueError):
+        rc.marginal(rc.fit(data, rc.Family((1,)), 2, 1), 1)
+
+
+def test_models_from_courses_and_batches(spark):
+    rng, rows, courses = np.random.default_rng(23), [], []
+    for series in range(6):
+        for t in range(1, 101):
+            state = 1 if (t // 25) % 2 else 2
+            rows.append((series, 1, t, [float((3.0 if state == 1 else -3.0) + rng.standard_normal())]))
+            courses += [(series, 1, t, k, 1.0 if k == state else 0.0) for k in (1, 2)]
+    data = spark.createDataFrame(rows, f"{SERIES}, x array<double>").cache()
+    gamma = spark.createDataFrame(courses, f"{SERIES}, state int, p double")
+    model = train.from_courses(data, gamma, 2)
+    assert model.mean[:, 0] == pytest.approx([3.0, -3.0], abs=0.2)
+    steps = {(r.i, r.j): r.n for r in d.transitions(gamma.filter("p = 1").select("series_id", "segment_id", "t", "state")).collect()}
+    assert model.counts - model.prior["counts"] == pytest.approx(np.array([[steps[1, 1], steps[1, 2]], [steps[2, 1], steps[2, 2]]]))
+    start = train.start_by_batches(data, 3, k=2, cycles=6)
+    assert sorted(start.mean[:, 0]) == pytest.approx([-3.0, 3.0], abs=0.4)
+    again = train.reordered(start, [1, 0])
+    assert [int(i) for i in __import__("tidemark.operators.pairs", fromlist=["assign"]).assign(train.state_distances(start, again))] == [1, 0]
+
+
+def test_traits_from_chains(spark):
+    rng, rows, traits = np.random.default_rng(24), [], []
+    for series in range(16):
+        shift = float(rng.standard_normal())
+        rows += [(series, 1, t, [float(shift + 0.3 * rng.standard_normal() + (4 if (t // 10) % 2 else 0))]) for t in range(1, 61)]
+        traits.append((series, shift))
+    got = dc.phenotype_from_chains(spark.createDataFrame(rows, f"{SERIES}, x array<double>"), spark.createDataFrame(traits, "series_id bigint, y double"), 2, 4, [0.01, 1.0], cycles=6)
+    assert dc.prediction_scores(got).first().r > 0.8 and got.count() == 16

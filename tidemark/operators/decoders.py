@@ -243,3 +243,114 @@ def is_euclidean(distances: np.ndarray, tolerance: float = 1e-10) -> bool:
     p = np.eye(len(d)) - 1 / len(d)
     values = np.linalg.eigvalsh(p @ (-0.5 * d * d) @ p)
     return bool((values >= -tolerance * max(1.0, np.abs(values).max())).all())
+
+
+def class_targets(data: DataFrame, label: str, classes: Sequence[int], low: float = -1.0) -> DataFrame:
+    """Adds ``y``: for each class 1 or ``low``. A decoder of these takes a family without intercept, as with one
+    its states would stand for the classes; an encoder, whose design they are, takes ``low`` 0."""
+    return data.withColumn("y", F.array(*(F.when(F.col(label) == c, 1.0).otherwise(low) for c in classes)))
+
+
+def decoded_classes(predictions: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """(series_id, segment_id, t, i, y, yhat) of class responses → (series_id, segment_id, t, label, predicted),
+    the first of equals."""
+    best = lambda c: F.element_at(F.array(*(F.lit(int(x)) for x in classes)), F.max_by("i", F.struct(c, -F.col("i"))))
+    return predictions.groupBy(*KEY, "t").agg(best("y").alias("label"), best("yhat").alias("predicted"))
+
+
+def prepared(data: DataFrame, target: str, keep: int) -> tuple[DataFrame, list[int]]:
+    """Data of a decoder made ready: channels of ``x`` less their means at each time, an intercept in front, and
+    of the channels the ``keep`` on which a line on ``target`` explains most of the variance; and which these
+    are (from 1, ties to the first)."""
+    d = len(data.first()["x"])
+    wide = data.select("*", *(F.col("x")[i].alias(f"c{i + 1}") for i in range(d)))
+    means = wide.groupBy("t").agg(*(F.avg(f"c{i + 1}").alias(f"m{i + 1}") for i in range(d)))
+    centred = wide.join(means, "t").withColumns({f"c{i + 1}": F.col(f"c{i + 1}") - F.col(f"m{i + 1}") for i in range(d)})
+    row = centred.agg(*(F.coalesce(F.regr_r2(F.col(f"c{i + 1}"), F.col(target)), F.lit(0.0)).alias(f"r{i}") for i in range(d))).first()
+    chosen = sorted(sorted(range(d), key=lambda i: (-row[i], i))[:keep])
+    return centred.withColumn("x", F.array(F.lit(1.0), *(F.col(f"c{i + 1}") for i in chosen))).select(*data.columns), [i + 1 for i in chosen]
+
+
+def discriminate_by_states(data: DataFrame, model, course: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """(series_id, segment_id, t, class, p): classes by the likelihood of ``x`` under an encoder, a chain of
+    regressions of x on class responses with an intercept and one noise for all states, its states mixed by
+    ``course`` (t, state, p); a softmax over the classes."""
+    from pyspark.sql import Window
+
+    if not model.family.shared:
+        raise ValueError("the encoder needs one noise for all states")
+    d, omega = model.w.shape[2], model.precision(0)
+    means = F.array(*(F.array(*(F.array(*(F.lit(float(model.w[s, 0, i] + model.w[s, c + 1, i])) for i in range(d))) for c in range(len(classes)))) for s in range(model.k)))
+    mixed = course.select("t", F.posexplode(F.element_at(means, F.col("state"))).alias("c", "m"), "p").groupBy("t", "c").agg(*((F.sum(F.col("p") * F.col("m")[i]) / F.sum("p")).alias(f"m{i}") for i in range(d)))
+    e = [F.col("x")[i] - F.col(f"m{i}") for i in range(d)]
+    score = -0.5 * sum((e[i] * e[j] * float(omega[i, j]) for i in range(d) for j in range(d)), F.lit(0.0))
+    scored = data.select(*KEY, "t", "x").join(mixed, "t").select(*KEY, "t", F.element_at(F.array(*(F.lit(int(c)) for c in classes)), F.col("c") + 1).alias("class"), score.alias("s"))
+    w = Window.partitionBy(*KEY, "t")
+    shifted = F.exp(F.col("s") - F.max("s").over(w))
+    return scored.withColumn("q", shifted).select(*KEY, "t", "class", (F.col("q") / F.sum("q").over(w)).alias("p"))
+
+
+def decoding_permutations(wide: DataFrame, predictors: Sequence[str], trials: DataFrame, permutations: int, ridge: float = 1e-4, seed: int = 0) -> DataFrame:
+    """(t, observed, p): share of a trait's variance that channels explain at each time, against trials dealt
+    anew. ``wide`` has (trial, t, predictors), ``trials`` (trial, y)."""
+    from tidemark.operators import stats
+
+    k = len(predictors)
+    dealt = stats.permuted(trials, "trial", "y", permutations, seed)
+    sums = moments.products(wide.join(dealt, "trial"), [*predictors, "y"], None, ["perm", "t"])
+
+    def explained(rows: pd.DataFrame) -> pd.DataFrame:
+        m = moments.matrix(rows[["i", "j", "s"]].itertuples(index=False), k + 1)
+        beta = np.r_[np.linalg.solve(m[: k + 1, : k + 1] + ridge * np.eye(k + 1), m[: k + 1, k + 1]), -1.0]
+        spread = m[k + 1, k + 1] - m[0, k + 1] ** 2 / m[0, 0]
+        return pd.DataFrame({"perm": rows["perm"].iloc[0], "t": rows["t"].iloc[0], "stat": [float(1 - beta @ m @ beta / spread) if spread > 1e-12 else 0.0]})
+
+    found = sums.groupBy("perm", "t").applyInPandas(explained, f"perm int, t {wide.schema['t'].dataType.simpleString()}, stat double")
+    return stats.p_values(found, ["t"], "stat")
+
+
+def chain_permutations(data: DataFrame, family, k: int, folds: int, permutations: int, cycles: int = 5, seed: int = 0) -> DataFrame:
+    """(t, i, observed, p): cross-validated explained variance of a time-varying decoder, against responses of
+    whole segments dealt anew among segments of one length. Every permutation is a fit of its own."""
+    from tidemark.operators import regression_chain as rc
+    from tidemark.operators import stats
+
+    whole = data.groupBy(*KEY).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("t", "y"))).alias("ys"))
+    units = whole.select(F.concat_ws("/", *KEY).alias("unit"), *KEY, "n", "ys")
+    found = None
+    for perm in range(permutations + 1):
+        if perm:
+            from pyspark.sql import Window
+
+            order = F.md5(F.concat_ws(":", "unit", F.lit(str(perm)), F.lit(str(seed))).cast("binary"))
+            home = units.select(*KEY, "n", F.row_number().over(Window.partitionBy("n").orderBy("unit")).alias("at"))
+            dealt = units.select("n", "ys", F.row_number().over(Window.partitionBy("n").orderBy(order, "unit")).alias("at"))
+            ys = home.join(dealt, ["n", "at"]).select(*KEY, F.inline("ys"))
+            turned = stage(data.select(*KEY, "t", "x").join(ys, [*KEY, "t"]), "dealt")
+        else:
+            turned = data
+        part = rc.cross_validated(turned, family, k, folds, cycles, seed).select("t", "i", F.coalesce("r2", F.lit(0.0)).alias("stat"), F.lit(perm).alias("perm"))
+        part = stage(part, "permutation")
+        found = part if found is None else found.unionAll(part)
+    return stats.p_values(found, ["t", "i"], "stat")
+
+
+def phenotype_from_chains(observations: DataFrame, traits: DataFrame, k: int, folds: int, ridges: Sequence[float], seed: int = 0, cycles: int = 10) -> DataFrame:
+    """(series_id, y, yhat): a trait (series_id, y) predicted from each series' own model. For each fold the chain
+    is trained on the other folds' series, all series get their estimates under it, and a ridge regression on
+    these, its strength chosen within the rest, predicts the fold."""
+    from tidemark.operators import train
+
+    fold = F.floor(uniform(F.col("series_id"), seed=seed) * folds).cast("int")
+    out = None
+    for f in range(folds):
+        model = train.fit(observations.filter(fold != f), k=k, cycles=cycles, seed=seed)
+        rows = train.dual_estimates(observations, model).filter("param IN ('mean', 'counts')")
+        name = F.concat_ws("_", "param", F.col("state").cast("string"), F.col("i").cast("string"), F.col("j").cast("string"))
+        d = model.mean.shape[1]
+        names = [f"mean_{s}_{i}_0" for s in range(1, k + 1) for i in range(1, d + 1)] + [f"counts_{s}_{s}_{j}" for s in range(1, k + 1) for j in range(1, k)]
+        share = rows.withColumn("name", name).groupBy("series_id").agg(*(F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(0.0)).alias(n) for n in names))
+        wide = stage(share.join(traits, "series_id").withColumn("fold", fold), "chains")
+        part = ridge_out_of_fold(wide, names, "y", ridges).filter(F.col("fold") == f).select("series_id", "y", "yhat")
+        out = part if out is None else out.unionAll(part)
+    return out

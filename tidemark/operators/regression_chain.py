@@ -499,6 +499,33 @@ def without_spare_states(data: DataFrame, model: RegressionModel, cycles: int =
     return best
 
 
+def marginal(model: RegressionModel, response: int) -> RegressionModel:
+    """The model of one response (from 1) of several with diagonal noise."""
+    if not model.family.diagonal:
+        raise ValueError("responses of full noise don't stand alone")
+    i, p = response - 1, model.w.shape[1]
+    rows = slice(i * p, (i + 1) * p)
+    one = lambda v: v[..., i : i + 1]
+    prior = model.prior | {"b": model.prior["b"][i : i + 1, i : i + 1]}
+    return replace(model, w=one(model.w), s=model.s[:, rows, rows], b=model.b[:, i : i + 1, i : i + 1], sigma=tuple(map(one, model.sigma)), prior=prior)
+
+
+def with_response(model: RegressionModel, part: RegressionModel, response: int) -> RegressionModel:
+    """``model`` with the posteriors of ``part`` for one of its responses: the inverse of ``marginal``."""
+    i, p = response - 1, model.w.shape[1]
+    w, s, b, sigma = model.w.copy(), model.s.copy(), model.b.copy(), tuple(v.copy() for v in model.sigma)
+    w[:, :, i], b[:, i, i] = part.w[:, :, 0], part.b[:, 0, 0]
+    s[:, i * p : (i + 1) * p, i * p : (i + 1) * p] = part.s
+    for held, fresh in zip(sigma, part.sigma, strict=True):
+        held[..., i] = fresh[..., 0]
+    return replace(model, w=w, s=s, b=b, sigma=sigma)
+
+
+def with_chain(model: RegressionModel, other: RegressionModel) -> RegressionModel:
+    """``model`` with the chain of another of as many states."""
+    return replace(model, start=other.start.copy(), counts=other.counts.copy())
+
+
 def stable(model: RegressionModel) -> list[bool]:
     """Whether each state's autoregression dies out: all roots of its companion matrix lie inside the unit circle."""
     out, d, top = [], model.w.shape[2], max(model.family.orders)

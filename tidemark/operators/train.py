@@ -357,6 +357,85 @@ def symmetric_divergence(p: Model, q: Model) -> float:
     return 0.5 * (one(p, q) + one(q, p))
 
 
+def chain_prior(k: int, diagonal: float = 10.0, off: float = 1.0, mask=None, weight: float = 1.0) -> np.ndarray:
+    """Dirichlet counts of transitions: ``diagonal`` on the diagonal, ``off`` elsewhere, none where ``mask`` is
+    false, all times ``weight``."""
+    counts = (np.full((k, k), off) + (diagonal - off) * np.eye(k)) * weight
+    return counts if mask is None else np.where(np.asarray(mask, bool), counts, 0.0)
+
+
+def state_distances(p: Model, q: Model) -> np.ndarray:
+    """Symmetric divergences (states of p, states of q) of emissions."""
+    out = np.empty((p.k, q.k))
+    for i in range(p.k):
+        for j in range(q.k):
+            apart = p.mean[i] - q.mean[j]
+            shift = 0.25 * apart @ (np.linalg.inv(p.covariance()[i]) + np.linalg.inv(q.covariance()[j])) @ apart
+            out[i, j] = 0.5 * (kl_wishart(p.a[i], p.b[i], q.a[j], q.b[j]) + kl_wishart(q.a[j], q.b[j], p.a[i], p.b[i])) / max(p.a[i], q.a[j]) + shift
+    return out
+
+
+def reordered(model: Model, order) -> Model:
+    """The model with its states in another order."""
+    order = list(order)
+    prior = model.prior | {"start": model.prior["start"][order], "counts": model.prior["counts"][np.ix_(order, order)]}
+    return replace(model, start=model.start[order], counts=model.counts[np.ix_(order, order)], mean=model.mean[order], beta=model.beta[order], a=model.a[order], b=model.b[order], prior=prior)
+
+
+def start_by_batches(observations: DataFrame, batches: int, **given) -> Model:
+    """A start for stochastic training: series are dealt into batches, each batch gets a model of its own, whose
+    states are matched with the first one's by least divergence, and the sums under all of them make one
+    update. ``given`` are options of the fits."""
+    from tidemark.functions.columns import uniform
+    from tidemark.operators.pairs import assign
+
+    options = Options.of(**given)
+    deal = F.floor(uniform(F.col("series_id"), seed=options.seed) * batches)
+    grouped, base = stage(segments(observations), "segments"), initial_model(observations, options)
+    first, total = None, None
+    for n in range(batches):
+        part = grouped.filter(deal == n)
+        if part.isEmpty():
+            continue
+        model = fit(observations.filter(deal == n), base, part, **given)
+        if first is None:
+            first = model
+        else:
+            model = reordered(model, [int(i) for i in assign(state_distances(first, model))])
+        sums = statistics(part, model)
+        total = sums if total is None else {name: total[name] + v for name, v in sums.items()}
+    discard(grouped)
+    return base if total is None else updated(base, total)
+
+
+def from_courses(observations: DataFrame, gamma: DataFrame, k: int, **given) -> Model:
+    """The model of given time-courses (…, t, state, p): one update from weighted sums, which are one aggregate,
+    and the chain's steps from products of neighbouring probabilities."""
+    from tidemark.operators.dynamics import approximate_pairs
+
+    options = Options.of(**given | {"k": k})
+    base = initial_model(observations, options)
+    d = base.mean.shape[1]
+    x = [F.col("x")[i] for i in range(d)]
+    cells = [F.sum("p").alias("n"), *(F.sum(F.col("p") * v).alias(f"f{i}") for i, v in enumerate(x))]
+    cells += [F.sum(F.col("p") * x[i] * x[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(d)]
+    rows = {r.state: r for r in gamma.join(observations, [*KEY, "t"]).groupBy("state").agg(*cells).collect()}
+    began = {r.state: r.p for r in gamma.filter("t = 1").groupBy("state").agg(F.sum("p").alias("p")).collect()}
+    steps = {(r.i, r.j): r.p for r in approximate_pairs(gamma).groupBy("i", "j").agg(F.sum("p").alias("p")).collect()}
+    value = lambda s, name: float(rows[s][name]) if s in rows else 0.0
+    states = range(1, k + 1)
+    return updated(
+        base,
+        {
+            "mass": np.array([value(s, "n") for s in states]),
+            "first": np.array([[value(s, f"f{i}") for i in range(d)] for s in states]),
+            "second": np.array([[[value(s, f"s{i}_{j}") for j in range(d)] for i in range(d)] for s in states]),
+            "start": np.array([began.get(s, 0.0) for s in states]),
+            "pairs": np.array([[steps.get((i, j), 0.0) for j in states] for i in states]),
+        },
+    )
+
+
 def sequential_start(path_length: int, k: int) -> np.ndarray:
     """States of equal length in order: ceil(k t / n)."""
     t = np.arange(1, path_length + 1)

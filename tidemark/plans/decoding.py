@@ -164,7 +164,69 @@ def _power(s, p) -> DataFrame:
     return bins.groupBy("state", "i", "f").agg(F.avg("v").alias("value"))
 
 
+def _prior() -> np.ndarray:
+    from tidemark.operators import train
+
+    return train.chain_prior(3, 10.0, 1.0, [[1, 1, 0], [0, 1, 1], [0, 0, 1]], 2.0)
+
+
+def _class_data(s, p, low: float = -1.0) -> DataFrame:
+    x = samples(s, p).select("series_id", "segment_id", "t", F.array("x2", "x3").alias("x"), F.col("state").isin(3, 4).cast("int").alias("label"))
+    return dc.class_targets(x, "label", [0, 1], low)
+
+
+def _class_decoder(s, p) -> DataFrame:
+    data = _class_data(s, p).drop("label")
+    return dc.decoded_classes(rc.predict(data, rc.fit(data, rc.Family((), False, "shareddiag"), 2, cycles=5, seed=1)), [0, 1])
+
+
+def _encoder(s, p):
+    turned = _class_data(s, p, 0.0).select("series_id", "segment_id", "t", F.array(F.col("y")[1]).alias("x"), F.col("x").alias("y"))
+    return turned, rc.fit(turned, rc.Family((), True, "sharedfull"), 2, cycles=5, seed=1)
+
+
+def _encoded_classes(s, p) -> DataFrame:
+    """Classes by an encoder with a column for each class."""
+    turned = _class_data(s, p, 0.0).select("series_id", "segment_id", "t", F.col("y").alias("x"), F.col("x").alias("y"))
+    model = rc.fit(turned, rc.Family((), True, "sharedfull"), 2, cycles=5, seed=1)
+    course = rc.decode(turned, model).groupBy("t", "state").agg(F.avg("p").alias("p"))
+    return dc.discriminate_by_states(_class_data(s, p), model, course, [0, 1])
+
+
+def _unsupervised(s, p) -> DataFrame:
+    from tidemark.operators import train
+
+    x = _pairs_data(s, p)
+    return train.decode(x, train.from_courses(x, gamma(s, p), K), "path")
+
+
+def _prepared(s, p) -> DataFrame:
+    data, _ = dc.prepared(observations(s, p).join(samples(s, p).select("series_id", "segment_id", "t", F.col("x2").alias("y")), ["series_id", "segment_id", "t"]), "y", 2)
+    return data.select("series_id", "segment_id", "t", F.round(F.col("x")[0], 6).alias("one"), F.round(F.col("x")[1], 6).alias("first"), F.round(F.col("x")[2], 6).alias("second"))
+
+
+def _by_batches(s, p) -> DataFrame:
+    from tidemark.operators import train
+
+    return s.createDataFrame(train.start_by_batches(_pairs_data(s, p), 3, k=2, cycles=4, seed=1).rows(), "state int, param string, i int, j int, value double")
+
+
+def _trial_decoding(s, p) -> DataFrame:
+    wide = samples(s, p).filter("t <= 6").select(F.concat_ws("/", "series_id", "segment_id").alias("trial"), "t", "x2")
+    return _r(dc.decoding_permutations(wide, ["x2"], _trials(s, p), 20, seed=1), "observed", "p")
+
+
 QUERIES = {
+    "dec03_class_decoder": _class_decoder,
+    "dec20_encoded_classes": _encoded_classes,
+    "dec21_encoder": lambda s, p: _table(s, _encoder(s, p)[1]),
+    "dec28_unsupervised_states": _unsupervised,
+    "dec30_decoding_permutations": _trial_decoding,
+    "dec31_chain_permutations": lambda s, p: dc.chain_permutations(_design_data(s, p), rc.Family((), True, "shareddiag"), 2, 2, 2, 2),
+    "pre21_prepared": _prepared,
+    "train03_chain_prior": lambda s, p: s.createDataFrame([(i + 1, k + 1, float(v)) for (i, k), v in np.ndenumerate(_prior())], "i int, j int, alpha double"),
+    "train13_start_by_batches": _by_batches,
+    "stat19_phenotype_from_chains": lambda s, p: dc.phenotype_from_chains(_pairs_data(s, p), _behaviour(s, p), 2, 2, [1.0, 100.0], cycles=3),
     "train02_regression_chain": lambda s, p: _table(s, _mar(s, p)),
     "obs11_shared_noise_chain": lambda s, p: _table(s, _mar(s, p, "sharedfull")),
     "obs12_single_state_weights": lambda s, p: _one_state(s, p).withColumn("beta", F.round("beta", 5)),
@@ -259,6 +321,22 @@ _SURROGATE = (
 )
 
 ORACLES = {
+    "train03_chain_prior": "SELECT * FROM (VALUES (1, 1, 20.0::DOUBLE), (1, 2, 2.0), (1, 3, 0.0), (2, 1, 0.0), (2, 2, 20.0), (2, 3, 2.0), (3, 1, 0.0), (3, 2, 0.0), (3, 3, 20.0)) q(i, j, alpha)",
+    # x2 follows itself; of the other two x1, whose square root of explained variance is larger, stays beside it.
+    "pre21_prepared": _with(
+        "mm AS (SELECT t, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM s GROUP BY 1), ct AS (SELECT s.*, x1 - m1 AS a, x2 - m2 AS b, x3 - m3 AS c FROM s JOIN mm USING (t)), "
+        "rr AS (SELECT regr_r2(a, x2) >= regr_r2(c, x2) AS first FROM ct)",
+        "SELECT series_id, segment_id, t, 1.0::DOUBLE AS one, round(CASE WHEN first THEN a ELSE b END, 6) AS first, round(CASE WHEN first THEN b ELSE c END, 6) AS second FROM ct, rr",
+    ),
+    "dec30_decoding_permutations": _with(
+        "tr AS (SELECT series_id || '/' || segment_id AS trial, avg(x1) AS y FROM s GROUP BY 1), "
+        "pl AS (SELECT perm, tr.*, row_number() OVER (PARTITION BY perm ORDER BY trial) AS home, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN md5(trial || ':' || perm || ':1') END, trial) AS place FROM tr, range(0, 21) r(perm)), "
+        "dl AS (SELECT a.perm, a.trial, b.y FROM pl a JOIN pl b ON a.perm = b.perm AND a.home = b.place), "
+        "q AS (SELECT perm, t, count(*) AS n0, count(*) + 1e-4::DOUBLE AS n, sum(x2) AS sx, sum(x2 * x2) AS sxx0, sum(x2 * x2) + 1e-4::DOUBLE AS sxx, sum(y) AS sy, sum(x2 * y) AS sxy, sum(y * y) AS syy FROM s JOIN dl ON trial = series_id || '/' || segment_id WHERE t <= 6 GROUP BY 1, 2), "
+        "b AS (SELECT *, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM q), "
+        "st AS (SELECT perm, t, 1 - (syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n0 + 2 * b0 * b1 * sx + b1 * b1 * sxx0) / (syy - sy * sy / n0) AS d FROM b)",
+        "SELECT t, round(o.d, 6) AS observed, round(avg((st.d >= o.d)::INT), 6) AS p FROM st JOIN (SELECT t, d FROM st WHERE perm = 0) o USING (t) GROUP BY t, o.d",
+    ),
     "obs12_single_state_weights": _with(
         "b4 AS (SELECT x2, lag(x2) OVER (PARTITION BY series_id, segment_id ORDER BY t) AS x FROM s)",
         "SELECT unnest([0, 1]) AS term, round(unnest([regr_intercept(x2, x), regr_slope(x2, x)]), 5) AS beta FROM b4 WHERE x IS NOT NULL",
