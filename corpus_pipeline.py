@@ -2,6 +2,13 @@
 
 Toxic documents go, one document of each group of near duplicates stays, benchmark passages are cut
 out, secrets are replaced, and what is left is encoded.
+
+Defined results, in every stage: a null or empty text is kept as it is, has no toxicity, no duplicates,
+no benchmark words, no secrets and no tokens; a null doc_id keeps its row, of equal texts a row with an
+id is preferred; repeated rows are judged alike, and of equal or linked texts one row stays, that of the
+least doc_id, the first stored of ties; texts are read whole; columns of any other name pass through the
+first four stages, and ``n_chars`` follows the text where there is such a column; an empty table gives an
+empty table, empty labels no toxic document and an empty benchmark no cut.
 """
 
 from __future__ import annotations
@@ -14,7 +21,9 @@ from tidemark.session import stage
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``n_chars`` of the texts as they now are."""
+    """``docs`` with ``n_chars`` of the texts as they now are, if they have that column."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("bigint"), "n_chars"))
 
 

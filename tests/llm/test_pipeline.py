@@ -77,3 +77,26 @@ def test_run_gives_the_same(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "ids_sha256").collect())) == sorted(
         map(tuple, stages[5].select("doc_id", "ids_sha256").collect())
     )
+
+
+def test_awkward_rows_pass_every_stage(spark):
+    texts = [None, None, "", "", " \n", "a", "one two three four five six", "one two three four five six", "ONE two three four five six", "word " * 30000, "é 日本 🙂 \x00 |"]
+    rows = [(i if i != 7 else None, t, None, "s", len(t or ""), i, 0.5, "x", i) for i, t in enumerate(texts)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, __row int, score double, label string, key int"
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, function in corpus_pipeline.STAGES[:4]:
+        out = function(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        kept[name] = sorted(r["__row"] for r in out.collect())
+    assert kept.pop("n-gram Jaccard join") == [0, 1, 2, 3, 4, 5, 6, 9, 10]
+    assert all(v == list(range(11)) for v in kept.values())
+    assert corpus_pipeline.encode(spark, docs, DATA).count() == 11
+    without = docs.drop("n_chars")
+    assert corpus_pipeline.redact_secrets(spark, without, DATA).columns == without.columns
+
+
+def test_empty_tables_pass_every_stage(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, function in corpus_pipeline.STAGES:
+        assert function(spark, docs, DATA).count() == 0
