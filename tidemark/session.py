@@ -59,11 +59,16 @@ def stage(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     (df.coalesce(tasks) if tasks else df).write.parquet(path)
     held = spark.read.schema(df.schema).parquet(path)
     held.staged_path = path
-    if path.startswith(("file:", "/")):  # in other stores the folder's own rules clear it
-        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", path), ignore_errors=True)
+    remove_at_exit(path)
     return held
 
 
+def remove_at_exit(path: str) -> None:
+    """Removes a folder of files when the driver's process ends; in other stores the folder's own rules do."""
+    if path.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, re.sub("^file:/*", "/", path), ignore_errors=True)
+
+
 def discard(*staged: DataFrame) -> None:
     """Deletes staged tables that nothing will read again."""
     for df in staged:
