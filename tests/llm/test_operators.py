@@ -219,6 +219,20 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
     assert {r.payload.decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h, _ in data}
 
 
+def test_frequent_payloads_are_broadcast(spark, monkeypatch):
+    data = [(i, f"u{i}", "" if i % 3 == 0 else "p" if i % 3 == 1 else f"own {i // 6}") for i in range(60)] + [(None, "n", None), (None, "n", "p")]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    last = {}
+    for i, _, h in data:
+        if i is not None:
+            last[h or ""] = max(last.get(h or "", -1), i)
+    want = sorted((str(i), h or "", last[h or ""] if i != last[h or ""] and sum((x or "") == (h or "") for _, _, x in data) > 1 else None) for i, _, h in data)
+    for pages_at_least in (5, 1000):
+        monkeypatch.setattr(warc, "FREQUENT_PAGES", pages_at_least)
+        got = sorted((str(r.page_id), bytes(r.payload).decode(), r.refers_to) for r in warc.with_responses(pages).collect())
+        assert got == want
+
+
 def test_reader_follows_zip64_and_comments():
     inner = warc.Package()
     inner.add(3, "http://x", b"payload", None)

@@ -432,6 +432,15 @@ def _in_reach(percent: int):
     )
 
 
+def _dealt(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``df`` by ``key``, sorted by it within partitions: the session's number of partitions, which AQE fits to the
+    data, or one for every 512 MB of input where that is more."""
+    parts = size >> 29
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(parts, key).sortWithinPartitions(key)
+    return df.repartition(key).sortWithinPartitions(key)
+
+
 def near_links(classes: DataFrame, documents: DataFrame, percent: int, bits: int, tasks: int) -> DataFrame:
     """Classes (key, doc_id, sig, n_shingles, typical, cells, often, n_copies) of ``documents`` → (node, label)
     of those linked with another."""
@@ -497,8 +506,8 @@ def _named(keyed: DataFrame, size: int, percent: int, cell_bits: int = CELL_BITS
     bits, tasks = blocks.bit_length() - 1, tasks_for(size)
     with batch_rows(spark, 500):
         columns = keyed.select("key", "doc_id", "text").mapInArrow(_pack_columns(bits, cell_bits), _BLOCK)
-        cells = columns.repartition("block").sortWithinPartitions("block").mapInArrow(_shared_cells(buckets), _BUCKET)
-        rows = stage(cells.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_rows_back(percent), _DOCS), "incidence", tasks_for(size, 8 << 20))
+        cells = _dealt(columns, "block", size).mapInArrow(_shared_cells(buckets), _BUCKET)
+        rows = stage(_dealt(cells, "bucket", size).mapInArrow(_rows_back(percent), _DOCS), "incidence", tasks_for(size, 8 << 20))
         live = rows.filter("cells IS NOT NULL")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
         classes = stage(live.groupBy("sig").agg(F.min("key").alias("key"), first, F.count("*").alias("n_copies")), "classes", tasks)

@@ -234,7 +234,7 @@ class Reader:
 def training_rows(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``sample_rows`` (text, language) of each language outside the held-out fold, whole texts."""
     marked = documents.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 0").filter(~held_out())
-    counts = stage(marked.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")), "languages")
+    counts = stage(marked.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")), "languages", 8)
     rows = max(1, min(sample_rows, SAMPLE_TOTAL // max(1, counts.count())))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     # About half more than needed by the counts, one text of each doc_id; of these the first are taken before any leaves.

@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import held_out, map_batches, same_columns, texts
-from tidemark.session import discard, stage
 
 #: Labelled rows of each class that the lexicon is learned from, at most; the rows of least hash are taken.
 SAMPLE_ROWS = 6000
@@ -224,10 +223,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, sample_rows: int = SA
     # Two integers for each of at most 2 * sample_rows rows: small at any size of the corpus. One text of
     # each leaves the executors, however often a doc_id is repeated.
     found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    held = stage(found.select("doc_id", F.make_valid_utf8("text").alias("text"), "toxic"), "toxicity-rows", 8)
-    rows = [(doc_id, text or "", int(toxic)) for doc_id, text, toxic in held.toLocalIterator()]  # a file at a time
-    discard(held)
-    return [(text, toxic) for _, text, toxic in sorted(rows)]
+    eighths = found.select("doc_id", F.make_valid_utf8("text"), "toxic").coalesce(8).toLocalIterator()  # one at a time
+    return [(text, toxic) for _, text, toxic in sorted((doc_id, text or "", int(toxic)) for doc_id, text, toxic in eighths)]
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:

@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_dir, stage
+from tidemark.llm.batches import batch_rows
+from tidemark.session import input_bytes, remove_at_exit, shared_dir, stage, tasks_for
 
 #: Bytes of records after which a package is closed.
 PACKAGE_BYTES = 16_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Over how many keys the pages of one payload are dealt when they look up their response.
-SALTS = 16
+#: A payload of more pages than one in so many, and than so many pages, is frequent: there are fewer such
+#: payloads than the first number, whatever the crawl.
+FREQUENT_SHARE, FREQUENT_PAGES = 1000, 1000
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:tidemark:page:"
@@ -195,19 +197,21 @@ def located(uri: str):
 def with_responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, url, html) with ``refers_to`` of the pages that repeat another's payload.
 
-    Digests meet as (digest, largest id) after partial aggregation; only those of several pages come
-    back, copied over salts so that the pages of one frequent payload are dealt over many tasks."""
+    Digests meet as (digest, largest id, pages) after partial aggregation. Pages of frequent payloads, fewer
+    than ``FREQUENT_SHARE`` of them, find their response in a broadcast and are then dealt by their own keys,
+    so that no task gets all pages of one; the others are joined by digest, broadcast or shuffled as
+    Catalyst finds it best."""
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     held = held.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    several = (
-        held.filter(F.col("size") >= min_bytes)
-        .groupBy("digest", "size")
-        .agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1 AND first IS NOT NULL")
-        .select("digest", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = held.withColumn("salt", salt).join(several, ["digest", "size", "salt"], "left")
+    several = held.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+    several = stage(several.filter("n > 1 AND first IS NOT NULL"), "payloads", tasks_for(input_bytes(pages)))
+    limit = max(FREQUENT_PAGES, (several.agg(F.sum("n")).first()[0] or 0) // FREQUENT_SHARE)
+    often = several.filter(F.col("n") > limit).select("digest", "size", F.col("first").alias("often"))
+    marked = held.join(F.broadcast(often), ["digest", "size"], "left")
+    own = F.concat_ws(":", "digest", "size")
+    marked = marked.withColumn("key", F.when(F.col("often").isNull(), own).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    rest = several.filter(F.col("n") <= limit).select(own.alias("key"), "first")
+    joined = marked.join(rest, "key", "left").withColumn("first", F.coalesce("often", "first"))
     return joined.select("page_id", "url", "payload", F.expr("if(page_id <=> first, null, first)").alias("refers_to"))
 
 
@@ -237,8 +241,8 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
         if package.lines:
             yield done(package)
 
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return stage(pages.mapInArrow(run, "path string, n_records bigint"), "packages")
+    with batch_rows(pages.sparkSession, 500):
+        return stage(pages.mapInArrow(run, "path string, n_records bigint"), "packages")
 
 
 _COLUMNS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -269,7 +273,9 @@ def read_packages(paths: DataFrame, with_payload: bool = False) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = with_responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    paths = write_packages(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    remove_at_exit(folder)
+    paths = write_packages(pages, folder)
     return read_packages(paths.repartition(max(1, min(10_000, paths.count()))))
 
 
