@@ -61,7 +61,7 @@ def spectral_test(spectra: DataFrame, permutations: int, within: str = "state",
     means = left.join(right, [*keys, "at"]).groupBy("state", "channel", "f", "perm").agg(F.avg("value").alias("m"))
     seen = means.filter("perm = 0").select("state", "channel", "f", F.col("m").alias("value"))
     both = means.join(seen, ["state", "channel", "f"]).groupBy("state", "channel", "f").agg(
-        F.first("value").alias("value"), F.avg((F.col("m") <= F.col("value")).cast("double")).alias("lower"), F.avg((F.col("m") >= F.col("value")).cast("double")).alias("higher")
+        F.first("value").alias("value"), F.avg(stats.at_least(-F.col("m"), -F.col("value")).cast("double")).alias("lower"), F.avg(stats.at_least(F.col("m"), F.col("value")).cast("double")).alias("higher")
     )
     for side in ("lower", "higher"):
         both = stats.benjamini_hochberg(both.withColumnRenamed(side, "p")).withColumnRenamed("p", side).withColumnRenamed("q", f"{side}_corrected")

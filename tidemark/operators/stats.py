@@ -27,11 +27,16 @@ def permuted(units: DataFrame, unit: str, value: str, permutations: int, seed: i
     return home.select(*keys, unit).join(place.select(*keys, value), keys).select("perm", *within, unit, value)
 
 
+def at_least(a, b):
+    """a >= b where what differs by rounding counts as equal: sums in another order must not decide a tie."""
+    return a >= b - (F.abs(b) * 1e-9 + 1e-12)
+
+
 def p_values(statistics: DataFrame, by: Sequence[str], statistic: str) -> DataFrame:
     """(…, p): the share of permutations whose statistic is at least the observed one, which counts."""
     observed = statistics.filter("perm = 0").select(*by, F.col(statistic).alias("observed"))
     joined = statistics.join(observed, list(by)) if by else statistics.join(F.broadcast(observed))
-    return joined.groupBy(*by).agg(F.first("observed").alias("observed"), F.avg((F.col(statistic) >= F.col("observed")).cast("double")).alias("p"))
+    return joined.groupBy(*by).agg(F.first("observed").alias("observed"), F.avg(at_least(F.col(statistic), F.col("observed")).cast("double")).alias("p"))
 
 
 def difference_test(units: DataFrame, measures: DataFrame, unit: str, label: str, permutations: int, by: Sequence[str] = (), seed: int = 0, side: int = 0) -> DataFrame:
@@ -70,7 +75,7 @@ def family_wise(statistics: DataFrame, by: Sequence[str]) -> DataFrame:
     top = statistics.groupBy("perm").agg(F.max("stat").alias("top"))
     observed = statistics.filter("perm = 0").select(*by, F.col("stat").alias("observed"))
     bounds = top.select("top")
-    return observed.join(F.broadcast(bounds), F.lit(True)).groupBy(*by).agg(F.avg((F.col("top") >= F.col("observed")).cast("double")).alias("p"))
+    return observed.join(F.broadcast(bounds), F.lit(True)).groupBy(*by).agg(F.avg(at_least(F.col("top"), F.col("observed")).cast("double")).alias("p"))
 
 
 def benjamini_hochberg(tests: DataFrame, by: Sequence[str] = ()) -> DataFrame:

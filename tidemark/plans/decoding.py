@@ -290,7 +290,7 @@ def _dealt(within: str, mixed: str) -> str:
         f"pl AS (SELECT us.*, perm, row_number() OVER (PARTITION BY unit, {within}, perm ORDER BY {mixed}) AS home, "
         f"row_number() OVER (PARTITION BY unit, {within}, perm ORDER BY CASE WHEN perm > 0 THEN md5(unit || ':' || {within} || ':' || {mixed} || ':' || perm || ':0') END, {mixed}) AS place FROM us, range(0, 51) r(perm)), "
         f"mn AS (SELECT a.state, a.channel, a.f, a.perm, avg(b.value) AS m FROM pl a JOIN pl b ON a.unit = b.unit AND a.{within} = b.{within} AND a.perm = b.perm AND a.home = b.place GROUP BY 1, 2, 3, 4)",
-        "SELECT state, channel, f, round(value, 6) AS value, round(avg((m <= value)::INT), 6) AS lower, round(avg((m >= value)::INT), 6) AS higher FROM mn JOIN (SELECT state, channel, m AS value FROM mn WHERE perm = 0) "
+        "SELECT state, channel, f, round(value, 6) AS value, round(avg((-m >= -value - (1e-9 * abs(value) + 1e-12))::INT), 6) AS lower, round(avg((m >= value - (1e-9 * abs(value) + 1e-12))::INT), 6) AS higher FROM mn JOIN (SELECT state, channel, m AS value FROM mn WHERE perm = 0) "
         "USING (state, channel) GROUP BY state, channel, f, value",
     )
 
@@ -335,7 +335,7 @@ ORACLES = {
         "q AS (SELECT perm, t, count(*) AS n0, count(*) + 1e-4::DOUBLE AS n, sum(x2) AS sx, sum(x2 * x2) AS sxx0, sum(x2 * x2) + 1e-4::DOUBLE AS sxx, sum(y) AS sy, sum(x2 * y) AS sxy, sum(y * y) AS syy FROM s JOIN dl ON trial = series_id || '/' || segment_id WHERE t <= 6 GROUP BY 1, 2), "
         "b AS (SELECT *, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM q), "
         "st AS (SELECT perm, t, 1 - (syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n0 + 2 * b0 * b1 * sx + b1 * b1 * sxx0) / (syy - sy * sy / n0) AS d FROM b)",
-        "SELECT t, round(o.d, 6) AS observed, round(avg((st.d >= o.d)::INT), 6) AS p FROM st JOIN (SELECT t, d FROM st WHERE perm = 0) o USING (t) GROUP BY t, o.d",
+        "SELECT t, round(o.d, 6) AS observed, round(avg((st.d >= o.d - (1e-9 * abs(o.d) + 1e-12))::INT), 6) AS p FROM st JOIN (SELECT t, d FROM st WHERE perm = 0) o USING (t) GROUP BY t, o.d",
     ),
     "obs12_single_state_weights": _with(
         "b4 AS (SELECT x2, lag(x2) OVER (PARTITION BY series_id, segment_id ORDER BY t) AS x FROM s)",
@@ -370,7 +370,7 @@ ORACLES = {
     "stat07_channels_dealt": _dealt("state", "channel"),
     "stat08_states_dealt": _dealt("channel", "state"),
     "stat11_connectivity_test": _with(
-        _SURROGATE, "SELECT i, j, round(o.d, 6) AS distance, round(avg((ds.d >= o.d)::INT), 6) AS p FROM ds JOIN (SELECT i, j, d FROM ds WHERE perm = 0) o USING (i, j) GROUP BY i, j, o.d"
+        _SURROGATE, "SELECT i, j, round(o.d, 6) AS distance, round(avg((ds.d >= o.d - (1e-9 * o.d + 1e-12))::INT), 6) AS p FROM ds JOIN (SELECT i, j, d FROM ds WHERE perm = 0) o USING (i, j) GROUP BY i, j, o.d"
     ),
     "stat13_chain_gradient": _with(
         "fs AS (SELECT state, count(*) / sum(count(*)) OVER () AS p FROM s WHERE t = 1 GROUP BY 1), os AS (SELECT series_id, state, count(*) / sum(count(*)) OVER (PARTITION BY series_id) AS share FROM s WHERE t = 1 GROUP BY 1, 2), "

@@ -176,11 +176,11 @@ ORACLES = {
     "stat04_difference_test": _with(
         _PERM + ", st AS (SELECT perm, state, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS d FROM dl JOIN fo USING (series_id) GROUP BY 1, 2), "
         "sd AS (SELECT state, CASE WHEN d > 0 THEN 1 ELSE -1 END AS side, abs(d) AS observed FROM st WHERE perm = 0)",
-        "SELECT state, side, round(observed, 6) AS observed, round(avg((d * side >= observed)::INT), 6) AS p FROM st JOIN sd USING (state) GROUP BY 1, 2, 3",
+        "SELECT state, side, round(observed, 6) AS observed, round(avg((d * side >= observed - (1e-9 * observed + 1e-12))::INT), 6) AS p FROM st JOIN sd USING (state) GROUP BY 1, 2, 3",
     ),
     "stat02_correlation_test": _with(
         _PERM + ", st AS (SELECT perm, state, corr(value, target) ** 2 AS d FROM dl JOIN fo USING (series_id) GROUP BY 1, 2), ob AS (SELECT state, d AS observed FROM st WHERE perm = 0)",
-        "SELECT state, round(observed, 6) AS observed, round(avg((d >= observed)::INT), 6) AS p FROM st JOIN ob USING (state) GROUP BY 1, 2",
+        "SELECT state, round(observed, 6) AS observed, round(avg((d >= observed - (1e-9 * observed + 1e-12))::INT), 6) AS p FROM st JOIN ob USING (state) GROUP BY 1, 2",
     ),
     "stat24_folds": "SELECT c_custkey, c_nationkey, c_mktsegment, ((row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(c_custkey || ':0')[1:12], c_custkey) - 1) % 5 + 1)::INT AS fold FROM customer",
     "win07_surrogate_path": _with(
