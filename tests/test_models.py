@@ -309,3 +309,12 @@ def test_traits_from_chains(spark):
         traits.append((series, shift))
     got = dc.phenotype_from_chains(spark.createDataFrame(rows, f"{SERIES}, x array<double>"), spark.createDataFrame(traits, "series_id bigint, y double"), 2, 4, [0.01, 1.0], cycles=6)
     assert dc.prediction_scores(got).first().r > 0.8 and got.count() == 16
+
+
+def test_family_wise_and_combined(spark):
+    rows = [(perm, k, float(9 if perm == 0 and k == 1 else (perm * 7 + k * 3) % 5)) for perm in range(20) for k in (1, 2, 3)]
+    stat = spark.createDataFrame(rows, "perm int, k int, stat double")
+    got = {r.k: r.p for r in stats.family_wise(stat, ["k"]).collect()}
+    tops = [max(s for q, _, s in rows if q == perm) for perm in range(20)]
+    assert got == pytest.approx({k: np.mean([t >= s for t in tops]) for perm, k, s in rows if perm == 0})
+    assert got[1] == 0.05 and stats.combined(stat, [], ["k"]).first().p <= 0.5

@@ -53,7 +53,9 @@ def covariance_from(sums: np.ndarray) -> np.ndarray:
 def pca(wide: DataFrame, names: Sequence[str], keep: float | int = 0.95) -> tuple[np.ndarray, np.ndarray]:
     """Loadings (columns) and cumulative explained variance. ``keep`` below one is a share that has to
     be exceeded, else a number of components. Each loading's largest entry is positive."""
-    sums = matrix(products(wide, names).collect(), len(names))
+    means = wide.agg(*(F.avg(n) for n in names)).first()
+    centred = wide.select(*((F.col(n) - float(m or 0.0)).alias(n) for n, m in zip(names, means, strict=True)))
+    sums = matrix(products(centred, names).collect(), len(names))  # large means cost no digits
     values, vectors = np.linalg.eigh(covariance_from(sums))
     values, vectors = values[::-1], vectors[:, ::-1]
     share = np.cumsum(values) / values.sum()

@@ -74,8 +74,9 @@ def family_wise(statistics: DataFrame, by: Sequence[str]) -> DataFrame:
     """p of each statistic against the largest of all in each permutation."""
     top = statistics.groupBy("perm").agg(F.max("stat").alias("top"))
     observed = statistics.filter("perm = 0").select(*by, F.col("stat").alias("observed"))
-    bounds = top.select("top")
-    return observed.join(F.broadcast(bounds), F.lit(True)).groupBy(*by).agg(F.avg(at_least(F.col("top"), F.col("observed")).cast("double")).alias("p"))
+    bounds = top.agg(F.collect_list("top").alias("tops"))  # one row of as many numbers as permutations
+    share = F.expr("size(filter(tops, x -> x >= observed - (abs(observed) * 1e-9 + 1e-12))) / cast(size(tops) AS double)")
+    return observed.join(F.broadcast(bounds)).select(*by, share.alias("p"))
 
 
 def benjamini_hochberg(tests: DataFrame, by: Sequence[str] = ()) -> DataFrame:
