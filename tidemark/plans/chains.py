@@ -149,7 +149,7 @@ QUERIES = {
     "viz06_projected_map": lambda s, f: _r(_state_map(s, f), "value"),
     "viz08_strongest_edges": lambda s, f: _r(views.strongest_edges(_edges(s, f), 0.4, ["series_id"], True), "w"),
     "viz14_region_centres": lambda s, f: _r(views.region_centres(_regions(s, f)), "x", "y", "z"),
-    "viz15_eigen_map": _eigen_map,
+    "viz15_eigen_map": lambda s, f: _r(_eigen_map(s, f), "value"),
     "viz17_condition_grid": _grid_job,
     "viz18_delay_job": _delay_job,
     "viz19_autoregressive_job": _mar_job,
@@ -204,6 +204,12 @@ ORACLES = {
     ),
     "viz14_region_centres": "SELECT l_suppkey % 7 AS region, round(sum(l_extendedprice * l_quantity) / sum(l_extendedprice), 6) AS x, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice), 6) AS y, "
     "round(sum(l_extendedprice * l_tax) / sum(l_extendedprice), 6) AS z FROM lineitem GROUP BY 1",
+    # Power iteration on the matrix with one more on its diagonal, which keeps its vectors.
+    "viz15_eigen_map": f"WITH RECURSIVE {SQL}, {_EDGES}, mw AS (SELECT avg(w) FILTER (i = 1 AND j = 2) AS p, avg(w) FILTER (i = 1 AND j = 3) AS q, avg(w) FILTER (i = 2 AND j = 3) AS r FROM edges), "
+    "it AS (SELECT 0 AS n, p, q, r, 0.6::DOUBLE AS a, 0.5::DOUBLE AS b, 0.4::DOUBLE AS c FROM mw UNION ALL SELECT n + 1, p, q, r, x / sqrt(x * x + y * y + z * z), y / sqrt(x * x + y * y + z * z), z / sqrt(x * x + y * y + z * z) "
+    "FROM (SELECT *, 2 * a + p * b + q * c AS x, p * a + 2 * b + r * c AS y, q * a + r * b + 2 * c AS z FROM it WHERE n < 2000)), "
+    "le AS (SELECT a, b, c, sign(CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN a WHEN abs(b) >= abs(c) THEN b ELSE c END) AS s FROM it WHERE n = 2000) "
+    "SELECT unnest([1, 2, 3]) AS node, round(unnest([a * s, b * s, c * s]), 6) AS value FROM le",
     "viz22_metastates": _with(
         "oc AS (SELECT series_id, k AS state, count(*) FILTER (s.state = k) / count(*) AS v FROM s, range(1, 6) r(k) GROUP BY 1, 2)",
         "SELECT a.state::INT AS state, b.state::INT AS other, round(corr(a.v, b.v), 6) AS r FROM oc a JOIN oc b USING (series_id) WHERE a.state < b.state GROUP BY 1, 2",

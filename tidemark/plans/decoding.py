@@ -247,11 +247,11 @@ QUERIES = {
     "dec18_logistic_by_time": lambda s, p: _logistic(s, p),
     "dec26_euclidean": _centroid_check,
     "stat01_epoch_test": _epoch,
-    "stat06_spectral_test": lambda s, p: gt.spectral_test(_unit_spectra(s, p), 50),
+    "stat06_spectral_test": lambda s, p: _r(gt.spectral_test(_unit_spectra(s, p), 50), "value", "lower", "higher", "lower_corrected", "higher_corrected"),
     "stat07_channels_dealt": lambda s, p: _r(gt.spectral_test(_unit_spectra(s, p), 50, "state").drop("lower_corrected", "higher_corrected"), "value", "lower", "higher"),
     "stat08_states_dealt": lambda s, p: _r(gt.spectral_test(_unit_spectra(s, p), 50, "channel").drop("lower_corrected", "higher_corrected"), "value", "lower", "higher"),
     "stat11_connectivity_test": _connectivity,
-    "stat12_cluster_test": _clusters,
+    "stat12_cluster_test": lambda s, p: _r(_clusters(s, p), "accuracy", "chance", "p"),
     "stat13_chain_gradient": lambda s, p: _r(_gradient(s, p), "value"),
     "stat14_phenotype": _phenotype,
     "spec05_state_spectra": lambda s, p: _r(_state_spectrum(s, p), "psd"),
@@ -367,6 +367,22 @@ ORACLES = {
         "SELECT t, label AS class, round(-0.5 * (w1 * a + w2 * b), 6) AS bias, round(w1, 6) AS w1, round(w2, 6) AS w2 FROM ws",
     ),
     "dec26_euclidean": "SELECT true AS euclidean",
+    "stat06_spectral_test": "WITH ts AS ("
+    + _dealt("state", "channel")
+    + "), rk AS (SELECT *, row_number() OVER (ORDER BY lower) AS rl, row_number() OVER (ORDER BY higher) AS rh, count(*) OVER () AS n FROM ts) SELECT state, channel, f, value, lower, higher, "
+    "round(least(1, min(lower * n / rl) OVER (ORDER BY rl DESC)), 6) AS lower_corrected, round(least(1, min(higher * n / rh) OVER (ORDER BY rh DESC)), 6) AS higher_corrected FROM rk",
+    "stat12_cluster_test": _with(
+        "bs AS (SELECT series_id, t, (x1 > 20)::INT AS hit FROM s WHERE t <= 12), ac AS (SELECT t, avg(hit) AS accuracy FROM bs GROUP BY 1), "
+        "de AS (SELECT series_id AS unit, perm, ((t + perm - 1) % 12 + 1)::INT AS t, avg(hit) AS accuracy FROM bs, range(1, 12) r(perm) GROUP BY ALL), "
+        "pk AS (SELECT unit, draw, (floor(('0x' || substr(md5(unit || ':' || draw || ':0'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 11) + 1)::INT AS perm FROM (SELECT DISTINCT unit FROM de), range(1, 101) q(draw)), "
+        "mn AS (SELECT draw, t, avg(accuracy) AS accuracy FROM pk JOIN de USING (unit, perm) GROUP BY 1, 2), ch AS (SELECT t, quantile_cont(accuracy, 0.7) AS chance FROM mn GROUP BY 1), "
+        "nu AS (SELECT *, sum(c) OVER (PARTITION BY draw ORDER BY t) AS k FROM (SELECT *, CASE WHEN lag(above) OVER (PARTITION BY draw ORDER BY t) = above THEN 0 ELSE 1 END AS c FROM (SELECT mn.*, mn.accuracy > chance AS above FROM mn JOIN ch USING (t)))), "
+        "lo AS (SELECT draw, coalesce(max(size), 0) AS longest FROM (SELECT DISTINCT draw FROM pk) LEFT JOIN (SELECT draw, k, count(*) AS size FROM nu WHERE above GROUP BY 1, 2) USING (draw) GROUP BY 1), "
+        "se AS (SELECT *, sum(c) OVER (ORDER BY t) AS k FROM (SELECT *, CASE WHEN lag(above) OVER (ORDER BY t) = above THEN 0 ELSE 1 END AS c FROM (SELECT ac.*, chance, ac.accuracy > chance AS above FROM ac JOIN ch USING (t)))), "
+        "sz AS (SELECT *, count(*) OVER (PARTITION BY k) AS size FROM se)",
+        "SELECT t, round(accuracy, 6) AS accuracy, round(chance, 6) AS chance, CASE WHEN above THEN k END::BIGINT AS cluster, CASE WHEN above THEN sz.size END AS size, "
+        "CASE WHEN above THEN round((SELECT avg((longest >= sz.size)::INT) FROM lo), 6) END AS p FROM sz",
+    ),
     "stat07_channels_dealt": _dealt("state", "channel"),
     "stat08_states_dealt": _dealt("channel", "state"),
     "stat11_connectivity_test": _with(
