@@ -244,22 +244,33 @@ def fit(observations: DataFrame, model: Model | None = None, grouped: DataFrame
     return replace(model, history=history)
 
 
-def fit_stochastic(observations: DataFrame, batch: int, delay: float = 1.0, forget: float = 0.7, **given) -> Model:
-    """Cycles over seeded samples of ``batch`` series; natural parameters blend with a step that
-    shrinks as (cycle + delay)^-forget. A series is sampled by the hash of its id and the cycle."""
+def fit_stochastic(observations: DataFrame, batch: int, delay: float = 1.0, forget: float = 0.7, base: float = 0.95, **given) -> Model:
+    """Cycles over samples of ``batch`` series, drawn without replacement with weights ``base`` to the power of
+    how often a series was used; natural parameters blend with a step that shrinks as (cycle + delay)^-forget.
+    The model of least estimated free energy is returned, with the history of all estimates. Draws follow
+    from the series' ids, the cycle and the seed."""
+    from tidemark.functions.columns import uniform
+
     options = Options.of(**given)
     model = initial_model(observations, options)
     grouped = stage(segments(observations), "segments")
-    n = grouped.select("series_id").distinct().count()
+    units = stage(grouped.select("series_id").distinct().withColumn("used", F.lit(0)), "units")
+    n, best, history = units.count(), None, []
     for cycle in range(1, options.cycles + 1):
-        chosen = F.pmod(F.xxhash64("series_id", F.lit(options.seed), F.lit(cycle)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, batch / n))
-        part = grouped.filter(chosen)
-        used = part.select("series_id").distinct().count()
-        if not used:
-            continue
-        stats, share = statistics(part, model), used / n
+        # The largest of log(u) / weight are a weighted sample without replacement.
+        key = F.log(1 - uniform(F.col("series_id"), F.lit(cycle), seed=options.seed)) / F.pow(F.lit(float(base)), F.col("used"))
+        picked = stage(units.withColumn("key", key).orderBy(F.desc("key"), "series_id").limit(batch).select("series_id", F.lit(1).alias("now")), "picked", 8)
+        fresh = stage(units.join(picked, "series_id", "left").select("series_id", (F.col("used") + F.coalesce("now", F.lit(0))).alias("used")), "units", 8)
+        discard(units)
+        units = fresh
+        stats, share = statistics(grouped.join(picked.select("series_id"), "series_id", "left_semi"), model), min(1.0, batch / max(1, n))
+        history.append(free_energy(model, stats["tail"][0] / share))
+        if best is None or history[-1] < best[0]:
+            best = history[-1], model
+        discard(picked)
         model = blended(model, updated(model, stats, 1 / share), (cycle + delay) ** -forget)
-    return model
+    discard(grouped, units)
+    return replace(best[1] if best else model, history=history)
 
 
 def blended(old: Model, new: Model, rho: float) -> Model:
