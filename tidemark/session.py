@@ -90,9 +90,9 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(size))
 
 
-def tasks_for(size: int, each: int = 32 << 20) -> int:
-    """Tasks for a table that comes from ``size`` bytes of input, ``each`` bytes a task, 8 at least."""
-    return int(min(max(8, size // each), 1 << 24))
+def tasks_for(size: int, each: int = 64 << 20) -> int:
+    """Tasks for a table that comes from ``size`` bytes of input, ``each`` bytes a task, 4 at least."""
+    return int(min(max(4, size // each), 1 << 24))
 
 
 def pow2_at_least(x: float, low: int, high: int) -> int:
