@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import map_batches, same_columns, strings, texts
-from tidemark.session import discard, stage
 
 WINDOW = 10
 #: Words of the items of one block of phrases.
 BLOCK_WORDS = 500_000
 SAMPLE_EVERY = 8
+#: Tasks at most that pack phrases, from each of which the driver fetches apart.
+PACKING_TASKS = 256
 #: Words of the documents of one index, beyond which another begins.
 SHARD_WORDS = 1_000_000
 
@@ -321,22 +322,20 @@ class Benchmark:
     def __init__(self, benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         context = benchmark.sparkSession.sparkContext
         items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-        lines = stage(items.mapInArrow(_worded, "item string, line string, n bigint").filter("n > 0").distinct(), "benchmark-words")
+        lines = items.mapInArrow(_worded, "item string, line string, n bigint").filter("n > 0").distinct()
         total, least = lines.agg(F.sum("n"), F.min("n")).first()
-        words = lines.select(F.explode(F.split("line", " ")).alias("word")).distinct().toLocalIterator()
+        words = lines.select(F.explode(F.split("line", " ")).alias("word")).distinct().collect()
         numbers = {w: i for i, w in enumerate(sorted(r.word.encode() for r in words), 1)}
         self.vocabulary = context.broadcast(Vocabulary(numbers, min(WINDOW, least or 1)))
         self.sent = []
         if total:
-            block = F.pmod(F.xxhash64("line"), F.lit(math.ceil(total / block_words))).alias("block")
-            dealt = lines.select(block, "item", "line").repartition("block").sortWithinPartitions("block")
-            packed = stage(dealt.mapInArrow(_packed(self.vocabulary), "phrases binary"), "benchmark-phrases")
-            for row in packed.toLocalIterator():
+            blocks = math.ceil(total / block_words)
+            block = F.pmod(F.xxhash64("line"), F.lit(blocks)).alias("block")
+            dealt = lines.select(block, "item", "line").repartition("block").coalesce(min(blocks, PACKING_TASKS)).sortWithinPartitions("block")
+            for row in dealt.mapInArrow(_packed(self.vocabulary), "phrases binary").toLocalIterator():
                 phrases = object.__new__(Phrases)
                 phrases.__dict__ |= pickle.loads(bytes(row.phrases))
                 self.sent.append(context.broadcast(phrases))
-            discard(packed)
-        discard(lines)
 
     def blocks(self) -> Iterator[Phrases]:
         """The blocks, of which, if there are several, a task lets go of one before the next."""
