@@ -42,6 +42,28 @@ def r_squared(scored: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
     return moments.prediction_error(scored, by).select(*by, F.col("explained").alias("r2"))
 
 
+def scores(scored: DataFrame, by: Sequence[str] = ("t",)) -> DataFrame:
+    """(by…, r, accuracy) of columns y and yhat: their correlation, and how often both are on one side of zero."""
+    same = ((F.col("y") >= 0) == (F.col("yhat") >= 0)).cast("double")
+    return scored.groupBy(*by).agg(F.corr("y", "yhat").alias("r"), F.avg(same).alias("accuracy"))
+
+
+def generalisation(wide: DataFrame, predictors: Sequence[str], target: str, ridge: float = 1e-4) -> DataFrame:
+    """(train_t, test_t, r2): explained variance at each time of the regression learned at each other, null where
+    the target doesn't vary. Both sides are sums of products by time, a small matrix for each time of a trial,
+    so no row is predicted more than once, or at all."""
+    k = len(predictors)
+    rows: dict[int, list] = {}
+    for r in moments.products(wide, [*predictors, target], None, ["t"]).collect():
+        rows.setdefault(r.t, []).append((r.i, r.j, r.s))
+    times = sorted(rows)
+    sums = np.stack([moments.matrix(rows[t], k + 1) for t in times]) if times else np.zeros((0, k + 2, k + 2))
+    betas = [np.r_[np.linalg.solve(m[: k + 1, : k + 1] + ridge * np.eye(k + 1), m[: k + 1, k + 1]), -1.0] for m in sums]
+    spread = [m[k + 1, k + 1] - m[0, k + 1] ** 2 / m[0, 0] for m in sums]
+    out = [(int(a), int(b), float(1 - beta @ m @ beta / v) if v > 1e-9 else None) for a, beta in zip(times, betas, strict=True) for b, m, v in zip(times, sums, spread, strict=True)]
+    return wide.sparkSession.createDataFrame(out, "train_t int, test_t int, r2 double")
+
+
 def cross_validated(wide: DataFrame, predictors: Sequence[str], target: str, ridge: float = 1e-4) -> DataFrame:
     """R² per time point of predictions for folds (column ``fold``) left out of the fit: sums of all
     less those of a fold are the sums of the rest, so every row is read once. Null where a time has one

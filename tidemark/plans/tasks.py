@@ -43,6 +43,12 @@ def _r2(s, p) -> DataFrame:
     return dec.r_squared(dec.predicted_by_time(wide.withColumn("y", F.col("x1")), ["x2"], betas))
 
 
+def _centred(s, p) -> DataFrame:
+    """Predictions of x1 less 40 at each time."""
+    wide = samples(s, p).withColumn("y", F.col("x1") - 40)
+    return dec.predicted_by_time(wide, ["x2"], dec.regression_by_time(wide, ["x2"], "y"))
+
+
 def _measures(s, p) -> tuple[DataFrame, DataFrame]:
     """Occupancies of each state per user, and users labelled by the median of their mean value."""
     fo = d.fractional_occupancy(gamma(s, p)).select("series_id", "state", F.col("fo").alias("value"))
@@ -112,6 +118,8 @@ QUERIES = {
     "dec07_auc": lambda s, p: _r(dec.auc(_scored(s, p), ["series_id"]), "auc"),
     "dec02_r_squared_by_time": lambda s, p: _r(_r2(s, p), "r2"),
     "dec15_regression_by_time": lambda s, p: _r(dec.regression_by_time(samples(s, p), ["x2"], "x1"), "beta"),
+    "dec15_scores": lambda s, p: _r(dec.scores(_centred(s, p)), "r", "accuracy"),
+    "dec15_generalisation": lambda s, p: _r(dec.generalisation(samples(s, p).filter("t <= 12"), ["x2"], "x1"), "r2"),
     "dec15_cross_validated": lambda s, p: dec.cross_validated(samples(s, p).withColumn("fold", (F.col("series_id") % 4).cast("int")), ["x2", "x3"], "x1"),
     "spec03_frequency_grid": lambda s, p: _r(spectra.frequency_grid(s, 200.0, 256, 1.0, 90.0), "f"),
     "spec09_time_frequency": lambda s, p: _r(spectra.time_frequency(gamma(s, p), _state_spectra(s, p)), "value"),
@@ -208,6 +216,15 @@ ORACLES = {
     "dec15_regression_by_time": _with(
         _BY_TIME, "SELECT t, unnest([0, 1]) AS term, round(unnest([b0, b1]), 6) AS beta FROM bt"
     ),
+    "dec15_scores": _with(
+        _BY_TIME.replace("x1", "(x1 - 40)"),
+        "SELECT t, round(corr(x1 - 40, b0 + b1 * x2), 6) AS r, round(avg(((x1 - 40 >= 0) = (b0 + b1 * x2 >= 0))::INT), 6) AS accuracy FROM s JOIN bt USING (t) GROUP BY 1",
+    ),
+    "dec15_generalisation": _with(
+        "sm AS (SELECT t, count(*) AS n, sum(x2) AS sx, sum(x2 * x2) AS sxx, sum(x1) AS sy, sum(x1 * x2) AS sxy, sum(x1 * x1) AS syy FROM s WHERE t <= 12 GROUP BY 1), "
+        "bb AS (SELECT t, ((sxx + 1e-4) * sy - sx * sxy) / ((n + 1e-4) * (sxx + 1e-4) - sx * sx) AS b0, ((n + 1e-4) * sxy - sx * sy) / ((n + 1e-4) * (sxx + 1e-4) - sx * sx) AS b1 FROM sm)",
+        "SELECT bb.t AS train_t, sm.t AS test_t, round(1 - (syy - 2 * (b0 * sy + b1 * sxy) + b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx) / (syy - sy * sy / n), 6) AS r2 FROM bb, sm",
+    ),
     "spec03_frequency_grid": "SELECT i::INT AS \"index\", round(i * 200.0 / 256, 6)::DOUBLE AS f FROM range(0, 129) r(i) WHERE i * 200.0 / 256 BETWEEN 1 AND 90",
     "spec09_time_frequency": _with(
         _SPEC, "SELECT t, f, 1 AS i, round(sum(m * value), 6) AS value FROM (SELECT t, state, avg(p) AS m FROM g GROUP BY 1, 2) JOIN sp USING (state) GROUP BY 1, 2"
