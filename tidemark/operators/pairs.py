@@ -41,7 +41,8 @@ def static_connectivity(long: DataFrame) -> DataFrame:
 def by_sample(long: DataFrame) -> tuple[DataFrame, list[int]]:
     """One row per sample with a column ``c1``, ``c2`` … for each channel, and the channels, which are few."""
     channels = [r.channel for r in long.select("channel").distinct().orderBy("channel").collect()]
-    return long.groupBy(*KEY, "t").agg(*(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(f"c{c}") for c in channels)), channels
+    dealt = long.repartition(*KEY)  # the one shuffle: samples and windows of a segment stay where they are
+    return dealt.groupBy(*KEY, "t").agg(*(F.max(F.when(F.col("channel") == c, F.col("value"))).alias(f"c{c}") for c in channels)), channels
 
 
 #: Series of a block on either side of a matrix over series; a task holds one block of each side.
