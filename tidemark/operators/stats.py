@@ -16,15 +16,25 @@ from tidemark.functions.columns import uniform
 from tidemark.operators import moments
 
 
-def permuted(units: DataFrame, unit: str, value: str, permutations: int, seed: int = 0, within: Sequence[str] = ()) -> DataFrame:
+def permuted(units: DataFrame, unit: str, value: str, permutations: int, seed: int = 0, within: Sequence[str] = (), carried: DataFrame | None = None) -> DataFrame:
     """(perm, …, unit, value): permutation 0 is the data, others deal the values anew among the units
-    (of one ``within`` group)."""
+    (of one ``within`` group). ``carried`` has a row per unit whose other columns go along; units that it
+    lacks are left out after the values are dealt. Joins of the result are by sorting: Catalyst's estimate
+    of an explode is that of its input, by which it would send all permutations to every machine."""
+    keys = [*within, "place"]
     many = units.select(*within, unit, value, F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("perm"))
     order = F.when(F.col("perm") > 0, F.md5(F.concat_ws(":", F.col(unit).cast("string"), F.col("perm").cast("string"), F.lit(str(seed))).cast("binary")))
-    place = many.withColumn("place", F.row_number().over(Window.partitionBy("perm", *within).orderBy(order, unit)))
-    home = many.withColumn("place", F.row_number().over(Window.partitionBy("perm", *within).orderBy(unit)))
-    keys = ["perm", *within, "place"]
-    return home.select(*keys, unit).join(place.select(*keys, value), keys).select("perm", *within, unit, value)
+    place = many.select("perm", *within, value, F.row_number().over(Window.partitionBy("perm", *within).orderBy(order, unit)).alias("place"))
+    home = units.select(*within, unit, F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(unit)).alias("place"))
+    more = [c for c in carried.columns if c != unit] if carried is not None else []
+    home = home.join(carried, unit) if carried is not None else home
+    return place.hint("merge").join(home, keys).select("perm", *within, unit, value, *more).hint("merge")
+
+
+def _dealt_measures(units: DataFrame, measures: DataFrame, unit: str, value: str, permutations: int, by: Sequence[str], seed: int) -> DataFrame:
+    """(perm, value of the unit, by…, "value"): a unit's measures come as one row, so that permutations are joined once."""
+    cells = measures.groupBy(unit).agg(F.collect_list(F.struct(*by, "value")).alias("cells"))
+    return permuted(units, unit, value, permutations, seed, carried=cells).select("perm", value, F.inline("cells"))
 
 
 def at_least(a, b):
@@ -56,9 +66,9 @@ def difference_test(units: DataFrame, measures: DataFrame, unit: str, label: str
 
 def correlation_test(units: DataFrame, measures: DataFrame, unit: str, target: str, permutations: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """Permutation test of the squared correlation of a measure with a target."""
-    dealt = permuted(units, unit, target, permutations, seed)
+    dealt = _dealt_measures(units, measures, unit, target, permutations, by, seed)
     r = F.corr("value", target)
-    return p_values(dealt.join(measures, unit).groupBy("perm", *by).agg((r * r).alias("stat")), by, "stat")
+    return p_values(dealt.groupBy("perm", *by).agg((r * r).alias("stat")), by, "stat")
 
 
 def combined(statistics: DataFrame, by: Sequence[str], over: Sequence[str]) -> DataFrame:
