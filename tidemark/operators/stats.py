@@ -53,8 +53,7 @@ def difference_test(units: DataFrame, measures: DataFrame, unit: str, label: str
     """One-sided permutation test of the difference of means between units of label 1 and 0: (by…,
     observed, p, side). ``side`` 1 asks whether the first is the larger, -1 the smaller, 0 takes the side
     of the observed difference; a difference on the other side has p 1, as has none at all."""
-    dealt = permuted(units, unit, label, permutations, seed)
-    groups = dealt.join(measures, unit).groupBy("perm", *by)
+    groups = _dealt_measures(units, measures, unit, label, permutations, by, seed).groupBy("perm", *by)
     means = groups.agg(F.avg(F.when(F.col(label) == 1, F.col("value"))).alias("one"), F.avg(F.when(F.col(label) == 0, F.col("value"))).alias("zero"))
     found = means.select("perm", *by, (F.col("one") - F.col("zero")).alias("d"))
     sides = found.filter("perm = 0").select(*by, (F.when(F.col("d") > 0, 1).otherwise(-1) if side == 0 else F.lit(side)).alias("side"))
