@@ -61,6 +61,13 @@ def bound_slope(xi: Column) -> Column:
     return F.when(F.abs(xi) < 1e-6, F.lit(0.125)).otherwise((s - 0.5) / (2 * xi))
 
 
+def mean_in_order(order: str, value: str) -> Column:
+    """Aggregate: the mean of a group's values, added up in the order of a column. ``avg`` adds in the order of
+    partitions, so that equal groups can differ in the last digit; this is for groups that fit into a row."""
+    held = F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value)))), lambda x: x[value].cast("double"))
+    return F.try_divide(F.aggregate(held, F.lit(0.0), lambda a, x: a + x), F.size(held))
+
+
 def uniform(*keys: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that follows from the keys and the seed alone: 48 bits of their MD5."""
     text = F.concat_ws(":", *(k.cast("string") for k in keys), F.lit(str(seed)))

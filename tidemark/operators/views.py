@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import input_bytes, stage, tasks_for
+
 KEY = ("series_id", "segment_id")
 
 
@@ -26,11 +29,12 @@ RANGES = 1024
 
 
 def _ranked(value: DataFrame) -> DataFrame:
-    """Adds ``place`` 1 … n by ``y`` and the keys; counts of ``RANGES`` quantile ranges are added up on the driver."""
-    cuts = value.approxQuantile("y", [i / RANGES for i in range(1, RANGES)], 0.001) if not value.isEmpty() else []
-    cuts = sorted(set(cuts))
-    part = F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts)}), c -> c < y))") if cuts else F.lit(0)
-    cut = value.withColumn("part", part)
+    """Adds ``place`` 1 … n by ``y``, nulls last, and the keys; counts of ``RANGES`` quantile ranges are added up on
+    the driver. The values are stored first: summed anew they could fall into another range than was counted."""
+    value = stage(value, "ranked", tasks_for(input_bytes(value)))
+    cuts = sorted({c for c in value.approxQuantile("y", [i / RANGES for i in range(1, RANGES)], 0.001) if math.isfinite(c)})
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("y"))) if cuts else F.lit(0)
+    cut = value.withColumn("part", F.when(F.col("y").isNull(), len(cuts) + 1).otherwise(part))
     counts = dict(cut.groupBy("part").count().collect())
     before, rows = 0, []
     for p in sorted(counts):
@@ -39,7 +43,7 @@ def _ranked(value: DataFrame) -> DataFrame:
     if not rows:
         return value.select(*KEY, F.lit(0).cast("bigint").alias("place"))
     starts = F.broadcast(value.sparkSession.createDataFrame(rows, "part int, before bigint"))
-    return cut.join(starts, "part").select(*KEY, (F.row_number().over(Window.partitionBy("part").orderBy("y", *KEY)) + F.col("before")).alias("place"))
+    return cut.join(starts, "part").select(*KEY, (F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("y"), *KEY)) + F.col("before")).alias("place"))
 
 
 def course_table(gamma: DataFrame, order: DataFrame) -> DataFrame:
